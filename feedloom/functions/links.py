@@ -5,78 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters no host name may hold.
-_BAD_HOST = r"[\x00-\x20\\^`{|}\x7f]"
-
 PARTS = ["raw", "scheme", "userinfo", "host", "path", "route", "query", "fragment"]
 
-
-def _tail(text: Column, head: Column) -> Column:
-    """What follows ``head`` at the start of ``text``."""
-    return F.substr(text, F.char_length(head) + 1)
-
-
-def with_link_parts(df: DataFrame, url: str = "url", prefix: str = "_") -> DataFrame:
-    """Add one column per entry of ``PARTS``, each named with ``prefix``.
+# Each step builds on the columns of earlier ones, so every part is computed once
+# per row. Characters no host name may hold make a link malformed.
+_STEPS = [
+    {"_raw": "coalesce({url}, '')"},
+    {"_body": "substring_index(_raw, '#', 1)"},
+    {"_main": "substring_index(_body, '?', 1)"},
+    {
+        "_scheme": "lower(regexp_extract(_main, r'^([Hh][Tt][Tt][Pp][Ss]?):', 1))",
+        "_query": "substr(_body, char_length(_main) + 1)",
+        "_fragment": "nullif(substr(_raw, char_length(_body) + 1), '#')",
+    },
+    {"_rest": "if(_scheme = '', '', substr(_main, char_length(_scheme) + 2))"},
+    {
+        "_authority": "if(startswith(_rest, '//'), substring_index(substr(_rest, 3), '/', 1), '')",
+    },
+    {
+        "_hostport": "substring_index(_authority, '@', -1)",
+        "_path": "case when startswith(_rest, '//') then substr(_rest, char_length(_authority) + 3)"
+        " when startswith(_rest, '/') then _rest else '' end",
+    },
+    {
+        "_fragment": "coalesce(_fragment, '')",
+        "_userinfo": "left(_authority, char_length(_authority) - char_length(_hostport))",
+        "_host": "lower(substring_index(_hostport, ':', 1))",
+        "_route": r"case when _scheme = '' or _hostport rlike r'[\x00-\x20\\^`{|}\x7f]' then null"
+        " when contains(_path, '%') then try_url_decode(replace(_path, '+', '%2B'))"
+        " else _path end",
+    },
+]
+
+
+def with_link_parts(df: DataFrame, url: str = "url") -> DataFrame:
+    """Add one column per entry of ``PARTS``, each named with a leading underscore.
 
     ``path`` is the path as written and ``route`` the percent-decoded path that
     site rules match on. ``route`` is null for anything but a well-formed
     http(s) link, and ``host`` is lower case without user and port.
-
-    The parts build on each other in steps so that every step is computed once
-    per row.
     """
-
-    def c(name: str) -> Column:
-        return F.col(prefix + name)
-
-    def p(**cols: Column) -> dict[str, Column]:
-        return {prefix + name: col for name, col in cols.items()}
-
     keep = df.columns
-    df = df.withColumns(p(raw=F.coalesce(F.col(url), F.lit(""))))
-    df = df.withColumns(p(body=F.substring_index(c("raw"), "#", 1)))
-    df = df.withColumns(p(main=F.substring_index(c("body"), "?", 1)))
-    df = df.withColumns(
-        p(
-            scheme=F.lower(F.regexp_extract(c("main"), r"^([Hh][Tt][Tt][Pp][Ss]?):", 1)),
-            query=_tail(c("body"), c("main")),
-            fragment=F.when(F.endswith(c("raw"), F.concat(c("body"), F.lit("#"))), F.lit(""))
-            .otherwise(_tail(c("raw"), c("body"))),
-        )
-    )
-    df = df.withColumns(
-        p(rest=F.when(c("scheme") != "", F.substr(c("main"), F.char_length(c("scheme")) + 2)))
-    )
-    has_authority = F.startswith(c("rest"), F.lit("//"))
-    df = df.withColumns(
-        p(
-            authority=F.when(
-                has_authority, F.substring_index(F.substr(c("rest"), F.lit(3)), "/", 1)
-            ).otherwise(F.lit(""))
-        )
-    )
-    df = df.withColumns(
-        p(
-            hostport=F.substring_index(c("authority"), "@", -1),
-            path=F.when(has_authority, F.substr(c("rest"), F.char_length(c("authority")) + 3))
-            .when(F.startswith(c("rest"), F.lit("/")), c("rest"))
-            .otherwise(F.lit("")),
-        )
-    )
-    plus_kept = F.replace(c("path"), F.lit("+"), F.lit("%2B"))
-    df = df.withColumns(
-        p(
-            userinfo=F.left(
-                c("authority"), F.char_length(c("authority")) - F.char_length(c("hostport"))
-            ),
-            host=F.lower(F.substring_index(c("hostport"), ":", 1)),
-            route=F.when((c("scheme") == "") | c("hostport").rlike(_BAD_HOST), F.lit(None))
-            .when(F.contains(c("path"), F.lit("%")), F.try_url_decode(plus_kept))
-            .otherwise(c("path")),
-        )
-    )
-    return df.select(*keep, *[prefix + name for name in PARTS])
+    for step in _STEPS:
+        made = {name: F.expr(sql.replace("{url}", f"`{url}`")) for name, sql in step.items()}
+        df = df.withColumns(made)
+    return df.select(*keep, *["_" + name for name in PARTS])
 
 
 def in_domain(host: Column, domain: str) -> Column:

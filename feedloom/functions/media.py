@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.links import PARTS, in_domain, with_link_parts
-
-MEDIA_TYPE = "struct<url: string, embed: string>"
-
-
-def last_hyphen_token(text: Column) -> Column:
-    """Last token of the leading run of tokens joined by single hyphens."""
-    run = F.rtrim(F.substring_index(text, "--", 1), F.lit("-"))
-    return F.substring_index(run, "-", -1)
+from feedloom.functions.links import PARTS, with_link_parts
 
 
 @dataclass(frozen=True)
@@ -27,8 +18,9 @@ class SiteRule:
 
     ``pattern`` is searched in the decoded path of links under ``domain`` (any
     host if None). ``url`` or ``embed`` is the output template; its ``{names}``
-    are link parts, and ``{id}`` is the pattern's first group after
-    ``refine_id``. A rule with neither template handles the link as "no media".
+    are link parts, and ``{id}`` is the pattern's first group, or what the SQL
+    expression ``refine_id`` makes of it. A rule with neither template handles
+    the link as "no media".
     """
 
     name: str
@@ -36,9 +28,12 @@ class SiteRule:
     pattern: str
     url: str | None = None
     embed: str | None = None
-    refine_id: Callable[[Column], Column] = lambda text: text
+    refine_id: str = "{id}"
 
 
+# Last token of the leading run of tokens joined by single hyphens.
+LAST_TOKEN = "substring_index(rtrim('-', substring_index({id}, '--', 1)), '-', -1)"
+
 # Sites, path patterns and the HTML each site asks embedders to use.
 SITE_RULES: tuple[SiteRule, ...] = (
     SiteRule("reddit comments", "reddit.com", r"(?i)^/r/[^/]+/comments"),
@@ -67,7 +62,7 @@ SITE_RULES: tuple[SiteRule, ...] = (
         r"^/gifs/([A-Za-z0-9][A-Za-z0-9-]*)",
         embed='<iframe src="https://giphy.com/embed/{id}" frameborder="0" scrolling="no"'
         ' width="100%" height="100%" class="giphy-embed" allowFullScreen></iframe>',
-        refine_id=last_hyphen_token,
+        refine_id=LAST_TOKEN,
     ),
     SiteRule(
         "gfycat",
@@ -82,38 +77,43 @@ SITE_RULES: tuple[SiteRule, ...] = (
 )
 
 
-def _render(template: str | None, values: dict[str, Column]) -> Column:
+def _text(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _render(template: str | None, found: str) -> str:
+    """A template as an SQL expression."""
     if template is None:
-        return F.lit("")
+        return "''"
+    values = {part: "_" + part for part in PARTS} | {"id": found}
     pieces = re.split(r"\{(\w+)\}", template)
-    return F.concat(
-        *[values[text] if i % 2 else F.lit(text) for i, text in enumerate(pieces) if text]
-    )
+    return f"concat({', '.join(values[t] if i % 2 else _text(t) for i, t in enumerate(pieces))})"
+
+
+def _case(rule: SiteRule) -> str:
+    """A rule as a branch of an SQL case."""
+    applies = f"_route rlike {_text(rule.pattern)}"
+    if rule.domain:
+        under = f"endswith(_host, {_text('.' + rule.domain)})"
+        applies = f"(_host = {_text(rule.domain)} or {under}) and {applies}"
+    if rule.url is None and rule.embed is None:
+        return f"when {applies} then null"
+    group = f"regexp_extract(_route, {_text(rule.pattern)}, 1)"
+    found = rule.refine_id.replace("{id}", group)
+    shown = f"'url', {_render(rule.url, found)}, 'embed', {_render(rule.embed, found)}"
+    return f"when {applies} then named_struct({shown})"
 
 
 def with_media(
     df: DataFrame, rules: Sequence[SiteRule] = SITE_RULES, url: str = "url", name: str = "media"
 ) -> DataFrame:
-    """Add nullable struct ``media{url, embed}``; exactly one of the two is non-blank."""
-    keep = df.columns
-    parts = {part: F.col("_" + part) for part in PARTS}
-    outcomes = []
-    for rule in rules:
-        applies = parts["route"].rlike(rule.pattern)
-        if rule.domain:
-            applies = in_domain(parts["host"], rule.domain) & applies
-        if rule.url is None and rule.embed is None:
-            media = F.lit(None).cast(MEDIA_TYPE)
-        else:
-            found = rule.refine_id(F.regexp_extract(parts["route"], rule.pattern, 1))
-            values = {**parts, "id": found}
-            media = F.struct(
-                _render(rule.url, values).alias("url"), _render(rule.embed, values).alias("embed")
-            )
-        outcomes.append((applies, media))
-    first, *others = outcomes
-    chain = reduce(lambda acc, o: acc.when(*o), others, F.when(*first))
-    return with_link_parts(df, url).withColumn(name, chain).select(*keep, name)
+    """Add nullable struct ``media{url, embed}``; one of the two is blank."""
+    chain = F.expr(f"case {' '.join(_case(rule) for rule in rules)} end")
+    # Exploding a one-element array leaves rows as they are, but keeps a later
+    # filter on the media from being rewritten into copies of the whole chain.
+    media = F.explode(F.array(chain)).alias(name)
+    return with_link_parts(df, url).select(*df.columns, media)
 
 
 def media_kind(media: Column) -> Column:

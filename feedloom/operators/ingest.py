@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.operators.prefix import carry_in
 from feedloom.schema import FIRST_SEEN, KEY, POST_COLUMNS
 
 NEW, UPDATED, SKIPPED = "NEW", "UPDATED", "SKIPPED"
@@ -70,29 +69,39 @@ def ingest_classify(store: DataFrame, batch: DataFrame) -> DataFrame:
 
     ``stored_url`` and the ``stored_…`` first-seen columns are null for rows
     whose key is not stored. Every key may occur once; see ``one_row_per_key``.
+
+    The store is cut down to the batch's keys and links by semi joins, in which
+    a small batch is the broadcast side and the store is not shuffled.
+    """
+    known = store.join(batch.select(*KEY), KEY, "left_semi")
+    asked = batch.where(_linked()).select("url").distinct()
+    holders = store.where(_linked()).select("url").join(asked, "url", "left_semi")
+    return label_rows(batch, known, holders)
+
+
+def label_rows(batch: DataFrame, known: DataFrame, holders: DataFrame) -> DataFrame:
+    """``ingest_classify`` given what the store says.
+
+    ``known`` has the stored rows under the batch's keys and ``holders`` the URL
+    of every stored post that shares one with the batch; both may have more.
     """
-    asked = batch.select(*KEY)
-    known = store.join(asked, KEY, "left_semi").select(
+    stored = known.select(
         *KEY,
         F.coalesce("url", F.lit("")).alias("stored_url"),
-        *[F.col(c).alias(f"stored_{c}") for c in FIRST_SEEN if c in store.columns],
+        *[F.col(c).alias(f"stored_{c}") for c in FIRST_SEEN],
     )
-    rows = batch.join(known, KEY, "left")
-    winners = _first_free_candidates(store, rows)
+    rows = batch.join(stored, KEY, "left")
+    winners = _first_free_candidates(rows, holders)
     matched = F.col("stored_url").isNotNull()
-    return (
-        rows.join(winners, KEY, "left")
-        .withColumn(
-            "store_result",
-            F.when(matched, UPDATED)
-            .when(~_linked() | F.col("_wins").isNotNull(), NEW)
-            .otherwise(SKIPPED),
-        )
-        .drop("_wins")
+    result = (
+        F.when(matched, UPDATED)
+        .when(~_linked() | F.col("_wins").isNotNull(), NEW)
+        .otherwise(SKIPPED)
     )
+    return rows.join(winners, KEY, "left").withColumn("store_result", result).drop("_wins")
 
 
-def _first_free_candidates(store: DataFrame, rows: DataFrame) -> DataFrame:
+def _first_free_candidates(rows: DataFrame, holders: DataFrame) -> DataFrame:
     """Keys of rows that insert their URL: per URL the first not-yet-stored row at
     whose turn no stored post holds it.
 
@@ -100,14 +109,19 @@ def _first_free_candidates(store: DataFrame, rows: DataFrame) -> DataFrame:
     starts, minus one where an update drops the URL, plus one where an update
     takes it. A count, because updates may give several posts the same URL.
     Rows after the first insert find the URL held by it, so there is one per URL.
+
+    A URL that most rows share is no single task: the running count is taken
+    inside each chunk first, where of the candidates that see the same count
+    only the first matters. What is left per URL is a few rows per chunk, and
+    the counts of earlier chunks are added to those.
     """
     matched = F.col("stored_url").isNotNull()
     url = F.coalesce(F.col("url"), F.lit(""))
 
-    def event(of: Column, holders: int, candidate: bool) -> Column:
+    def event(of: Column, change: int, candidate: bool) -> Column:
         return F.struct(
             of.alias("url"),
-            F.lit(holders).cast("long").alias("holders"),
+            F.lit(change).cast("long").alias("change"),
             F.lit(candidate).alias("candidate"),
         )
 
@@ -116,34 +130,43 @@ def _first_free_candidates(store: DataFrame, rows: DataFrame) -> DataFrame:
         moved, F.array(event(F.col("stored_url"), -1, False), event(url, 1, False))
     ).when(~matched, F.array(event(url, 0, True)))
     in_batch = rows.select(*KEY, "chunk", "seq", F.inline(events)).where("url <> ''")
-
-    asked = rows.where(~matched & _linked()).select("url").distinct()
+    # Holders at the start have no chunk and so precede every chunk.
     at_start = (
-        store.where(_linked())
-        .select("url")
-        .join(asked, "url", "left_semi")
+        holders.where(_linked())
         .groupBy("url")
-        .agg(F.count(F.lit(1)).alias("holders"))
+        .agg(F.count(F.lit(1)).alias("change"))
         .withColumn("candidate", F.lit(False))
     )
-    # Holders at the start have no chunk and so precede every chunk.
     timeline = in_batch.unionByName(at_start, allowMissingColumns=True)
-    placed = carry_in(timeline, ["url"], "chunk", F.sum("holders"), F.sum, "before")
 
-    earlier = (
-        Window.partitionBy("url", "chunk")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    in_chunk = Window.partitionBy("url", "chunk").orderBy("seq")
+    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    whole = in_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = timeline.withColumns(
+        {
+            "seen": F.when(F.col("candidate"), F.coalesce(F.sum("change").over(earlier), F.lit(0))),
+            "chunk_change": F.sum("change").over(whole),
+            "head": F.row_number().over(in_chunk) == 1,
+        }
+    )
+    firsts = counted.groupBy("url", "chunk", "seen").agg(
+        F.min(F.when(F.col("candidate"), F.struct("seq", *KEY))).alias("first"),
+        F.max("chunk_change").alias("chunk_change"),
+        # The chunk's change once over all its rows.
+        F.sum(F.when(F.col("head"), F.col("chunk_change")).otherwise(0)).alias("step"),
     )
-    holders = F.coalesce(F.col("before"), F.lit(0)) + F.coalesce(
-        F.sum("holders").over(earlier), F.lit(0)
+    through = (
+        Window.partitionBy("url")
+        .orderBy("chunk")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    held = F.sum("step").over(through) - F.col("chunk_change") + F.col("seen")
     return (
-        placed.withColumn("held", holders)
-        .where("candidate and held = 0")
+        firsts.withColumn("held", held)
+        .where("held = 0")
         .groupBy("url")
-        .agg(F.min(F.struct("chunk", "seq", *KEY)).alias("first"))
-        .select(*[F.col(f"first.{k}").alias(k) for k in KEY], F.lit(True).alias("_wins"))
+        .agg(F.min(F.struct("chunk", "first")).alias("win"))
+        .select(*[F.col(f"win.first.{k}").alias(k) for k in KEY], F.lit(True).alias("_wins"))
     )
 
 

@@ -18,6 +18,7 @@ from feedloom.operators.filters import (
 from feedloom.operators.ranking import display_order, max_daily_posts
 from feedloom.operators.rules import SizedRules, size_rules, zero_percentile_excluded
 from feedloom.operators.scores import community_thresholds
+from feedloom.session import materialize, new_folder
 
 
 def recent_posts(posts: DataFrame, now: int) -> DataFrame:
@@ -30,14 +31,16 @@ def feed_candidates(
 ) -> DataFrame:
     """Posts over their community's threshold, capped per feed, with ``age_in_days``.
 
-    Posts meet the thresholds in a broadcast join; only the newest ``scan_cap``
-    of each feed are shuffled. The windows that follow are per feed or finer and
-    reuse that partitioning.
+    The thresholds, one row per rule, are stored once: two steps need them, and
+    their plan reads all recent posts. Posts meet them in a broadcast join; only
+    the newest ``scan_cap`` of each feed are shuffled. The windows that follow
+    are per feed or finer and reuse that partitioning.
     """
     recent = recent_posts(posts, now)
     thresholds = community_thresholds(recent, sized).select(
         "feed", "community", F.col("media").alias("feed_media"), "max_daily", "min_score"
     )
+    thresholds = materialize(thresholds, new_folder(posts.sparkSession, "thresholds"))
     candidates = community_score_filter(recent, thresholds, sized).drop("min_score")
     boundary = day_boundary(F.lit(now).cast("long"), tz)
     return feed_scan_cap(candidates, sized, scan_cap).withColumn(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.operators.ingest import NEW, ingest_classify, merged_rows, one_row_per_key
+from feedloom.operators.ingest import NEW, label_rows, merged_rows, one_row_per_key
 from feedloom.schema import FIRST_SEEN, KEY, POST_COLUMNS
 from feedloom.session import materialize, new_folder
 from feedloom.sources.listings import drop_sticky, stamp_harvest_time
@@ -120,23 +120,29 @@ def harvest_run(
         f"{folder}/rows",
     )
     known = materialize(_touched_by(store, rows), f"{folder}/known")
+    sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")
+    sizes = materialize(sizes, f"{folder}/sizes")
 
+    # Only stored tables go into a round, so plans do not grow with the rounds.
     going: DataFrame | None = None
     rounds: list[DataFrame] = []
     for page_no in range(1, limits.max_pages + 2):
-        page = rows.where(F.col("page_no") == page_no)
+        page = drop_sticky(rows.where(F.col("page_no") == page_no))
         if going is not None:
             page = page.join(going, "community_name", "left_semi")
-        batch = one_row_per_key(drop_sticky(page))
-        labelled = ingest_classify(_current(known, rounds), batch)
+        current = _current(known, rounds)
+        labelled = label_rows(one_row_per_key(page), current, current)
         rounds.append(materialize(labelled, f"{folder}/round={page_no}"))
-        stats = _page_stats(page, rounds[-1])
+        if page_no > limits.max_pages:
+            break
+        # A community whose page has no rows is not among these and so ends.
+        stats = _page_stats(sizes, rounds[-1], "inner")
         going = stats.where(stop_reason(limits) == CONTINUE).select("community_name")
-        if page_no <= limits.max_pages and going.isEmpty():
+        if going.isEmpty():
             break
 
     labelled = reduce(DataFrame.unionByName, rounds)
-    pages = harvest_stop_rule(_page_stats(rows, labelled), limits)
+    pages = harvest_stop_rule(_page_stats(sizes, labelled, "left"), limits)
     last = F.max_by(F.struct(*[c for c in POST_COLUMNS if c not in KEY]), "page_no")
     changed = _stored_after(rounds).groupBy(*KEY).agg(last.alias("v")).select(*KEY, "v.*")
     return Harvest(labelled, pages, changed.select(*POST_COLUMNS))
@@ -168,14 +174,11 @@ def _current(known: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     return versions.groupBy(*KEY).agg(F.max_by(values, "page_no").alias("v")).select(*KEY, "v.*")
 
 
-def _page_stats(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``harvest_page_stats`` of ``rows``, with what ``labelled`` says is new."""
-    sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")
-    new = (
-        labelled.where(F.col("store_result") == NEW)
-        .groupBy("community_name", "page_no")
-        .agg(F.count(F.lit(1)).alias("n_new"))
+def _page_stats(sizes: DataFrame, labelled: DataFrame, how: str) -> DataFrame:
+    """``harvest_page_stats`` from page sizes and the labels of ingested rows."""
+    new = labelled.groupBy("community_name", "page_no").agg(
+        F.count_if(F.col("store_result") == NEW).alias("n_new")
     )
-    stats = sizes.join(new, ["community_name", "page_no"], "left")
+    stats = sizes.join(new, ["community_name", "page_no"], how)
     stats = stats.withColumn("n_new", F.coalesce("n_new", F.lit(0)))
     return stats.withColumn("percent_new", percent_new(F.col("n_rows"), F.col("n_new")))

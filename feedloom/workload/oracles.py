@@ -282,7 +282,7 @@ def _harvest() -> str:
         batch = f"""select * replace ({NOW} as time_stored) from listing_ev
     where page_no = {k} and not is_sticky
       and community_name in (select community_name from go{k - 1})"""
-        ctes.append(_upsert_round(k, batch, "community_name, pos"))
+        ctes.append(_upsert_round(k, batch, "b.community_name, b.pos"))
         ctes.append(
             f"""page{k} as (
   select community_name, cast({k} as bigint) as page_no, count(*) as n_rows,
@@ -316,7 +316,7 @@ landed as (
     for k in (1, 2, 3):
         batch = f"""select * replace ({NOW + (k - 1) * 21_600} as time_stored)
     from landed where drop_no = {k - 1} and not is_sticky"""
-        ctes.append(_upsert_round(k, batch, "page_no, community_name, pos"))
+        ctes.append(_upsert_round(k, batch, "b.page_no, b.community_name, b.pos"))
     return _with(*ctes)
 
 
@@ -477,7 +477,7 @@ where url <> '' and url in (select url from doc_store)"""
     upsert = _with(
         POSTS_DOC,
         f"st0 as (select {POST_COLUMNS} from doc_store)",
-        _upsert_round(1, "select * from doc_batch", "seq"),
+        _upsert_round(1, "select * from doc_batch", "b.seq"),
     )
     sql["ingest_classify"] = upsert + "select id, community_id, store_result from lab1"
     sql["ingest_merge"] = upsert + f"select {POST_COLUMNS} from st1"
@@ -557,9 +557,9 @@ from feeds group by feed"""
     )
 
     sql["day_boundary"] = """select event_id, now, cast(epoch(case
-    when hour(at) < 3 then date_trunc('day', at) + interval 3 hours
-    else date_trunc('day', at) + interval 27 hours end) as bigint) as boundary
-from (select event_id, cast(floor(epoch(ts)) as bigint) as now, ts as at from events)"""
+    when hour(t) < 3 then date_trunc('day', t) + interval 3 hours
+    else date_trunc('day', t) + interval 27 hours end) as bigint) as boundary
+from (select event_id, cast(floor(epoch(ts)) as bigint) as now, ts as t from events)"""
     sql["age_in_days"] = (
         ev
         + f"""select id, community_id, time_stored,
