@@ -18,12 +18,13 @@ from feedloom.operators.filters import (
 from feedloom.operators.ranking import display_order, max_daily_posts
 from feedloom.operators.rules import SizedRules, size_rules, zero_percentile_excluded
 from feedloom.operators.scores import community_thresholds
+from feedloom.schema import POST_COLUMNS
 from feedloom.session import materialize, new_folder
 
 
 def recent_posts(posts: DataFrame, now: int) -> DataFrame:
     """Posts a feed may show at ``now``."""
-    return active_only(retention_window(posts, now))
+    return active_only(retention_window(posts, now)).select(*POST_COLUMNS)
 
 
 def feed_candidates(

@@ -22,10 +22,26 @@ POSTS = T.StructType(
 )
 POST_COLUMNS = POSTS.fieldNames()
 
-# A repeated post refreshes these; the rest of its row stays as first stored.
-REFRESHED = ["name", "permalink", "is_active", "is_sticky", "score", "title", "url"]
+# A repeated post refreshes its other columns; these stay as first stored.
 FIRST_SEEN = ["community_name", "time_created", "time_stored"]
 
+# An item of a built feed, as kept in snapshots.
+FEED_ITEMS = T.StructType(
+    [
+        *POSTS.fields,
+        T.StructField("feed", T.StringType()),
+        T.StructField("feed_media", T.StringType()),
+        T.StructField("age_in_days", T.LongType()),
+        T.StructField(
+            "media",
+            T.StructType(
+                [T.StructField("url", T.StringType()), T.StructField("embed", T.StringType())]
+            ),
+        ),
+        T.StructField("display_rank", T.LongType()),
+    ]
+)
+
 # A landed listing row, in the field names of the listing files.
 LISTING = T.StructType(
     [

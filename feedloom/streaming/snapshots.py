@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.plans.feeds import build_all_feeds
+from feedloom.schema import FEED_ITEMS
 
 # Fixed value.
 MAX_AGE_SECONDS = 3_600
 
 _LOG = "feed string, snapshot_ts long"
+_ITEMS = T.StructType([*FEED_ITEMS.fields, T.StructField("snapshot_ts", T.LongType())])
 
 
 def _log(spark: SparkSession, root: str) -> DataFrame:
@@ -56,7 +59,7 @@ def refresh_feeds(
         return
     built = build_all_feeds(posts, stale, now, tz)
     (
-        built.withColumn("snapshot_ts", F.lit(now).cast("long"))
+        built.select(*FEED_ITEMS.fieldNames(), F.lit(now).cast("long").alias("snapshot_ts"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_ts", "feed")
@@ -68,8 +71,5 @@ def refresh_feeds(
 
 def current_feeds(spark: SparkSession, root: str) -> DataFrame:
     """Items of every feed's newest snapshot; older snapshots are not read."""
-    items = spark.read.parquet(f"{root}/items")
-    items = items.withColumns(
-        {"snapshot_ts": F.col("snapshot_ts").cast("long"), "feed": F.col("feed").cast("string")}
-    )
+    items = spark.read.schema(_ITEMS).parquet(f"{root}/items")
     return items.join(newest_snapshots(spark, root), ["feed", "snapshot_ts"])
