@@ -9,10 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "feedloom") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", app: str = "feedloom", shared: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     cores = "8" if cpus == "*" else str(cpus)
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores)
@@ -21,8 +23,10 @@ def local_session(cpus: int | str = "*", app: str = "feedloom") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 @functools.cache
