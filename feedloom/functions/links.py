@@ -14,7 +14,8 @@ _STEPS = [
     {"_body": "substring_index(_raw, '#', 1)"},
     {"_main": "substring_index(_body, '?', 1)"},
     {
-        "_scheme": "lower(regexp_extract(_main, r'^([Hh][Tt][Tt][Pp][Ss]?):', 1))",
+        "_scheme": "case when lower(left(_main, 6)) = 'https:' then 'https'"
+        " when lower(left(_main, 5)) = 'http:' then 'http' else '' end",
         "_query": "substr(_body, char_length(_main) + 1)",
         "_fragment": "nullif(substr(_raw, char_length(_body) + 1), '#')",
     },

@@ -118,6 +118,7 @@ def harvest_run(
             {"chunk": F.col("community_name"), "seq": F.col("pos").cast("long")}
         ),
         f"{folder}/rows",
+        partition_by="page_no",
     )
     known = materialize(_touched_by(store, rows), f"{folder}/known")
     sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")

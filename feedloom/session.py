@@ -53,11 +53,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
+def materialize(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and go on from the stored table.
 
     Unlike a cache this survives lost executors, and unlike an RDD checkpoint
-    the plan runs once and later readers still prune columns.
+    the plan runs once and later readers still prune columns (and folders of
+    ``partition_by``).
     """
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

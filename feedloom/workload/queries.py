@@ -323,9 +323,7 @@ def feed_pages(spark, sf):
     path = new_folder(spark, "pages")
     ranking.write_pages(ranking.feed_pages(_all_feeds(spark, sf)), path)
     pages = spark.read.parquet(path)
-    return pages.select(
-        "feed", F.col("page_no").cast("long").alias("page_no"), "display_rank", "id", "community_id"
-    )
+    return pages.select("feed", "page_no", "display_rank", "id", "community_id")
 
 
 @query

@@ -38,6 +38,10 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(_value(r[i]) for i in order) for r in rows)
 
 
+# Spark and DuckDB names of the types results may have.
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 def compare(spark, con, sf_dir: str, name: str) -> tuple[str, int]:
     """What differs ('' if nothing) and the number of rows."""
     df = queries()[name](spark, sf_dir)
@@ -47,6 +51,10 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, int]:
     want = rows_of(columns, result.fetchall())
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}", sum(got.values())
+    types = {d[0]: str(d[1]) for d in result.description}
+    odd = {c: (t, types[c]) for c, t in df.dtypes if TYPES.get(t) != types[c]}
+    if odd:
+        return f"types {odd}", sum(got.values())
     if got != want:
         only_got = list((got - want).items())[:2]
         only_want = list((want - got).items())[:2]
