@@ -170,11 +170,14 @@ def _first_free_candidates(rows: DataFrame, holders: DataFrame) -> DataFrame:
     )
 
 
-def merged_rows(labelled: DataFrame) -> DataFrame:
-    """Post rows as stored after the batch: first-seen columns keep their stored values."""
+def merged_rows(labelled: DataFrame, *more: str) -> DataFrame:
+    """Post rows as stored after the batch: first-seen columns keep their stored values.
+
+    ``more`` names further columns to pass through.
+    """
     kept = {c: F.coalesce(f"stored_{c}", c) for c in FIRST_SEEN}
     return labelled.where(F.col("store_result") != SKIPPED).select(
-        *[kept.get(c, F.col(c)).alias(c) for c in POST_COLUMNS]
+        *[kept.get(c, F.col(c)).alias(c) for c in [*POST_COLUMNS, *more]]
     )
 
 

@@ -39,7 +39,7 @@ def community_thresholds(posts: DataFrame, sized: SizedRules) -> DataFrame:
     rules are answered in one pass over the posts.
     """
     if sized.small:
-        wanted = sized.rows.select(F.col("community").alias("community_name")).distinct()
+        wanted = sized.rows.select(F.col("community").alias("community_name"))
         posts = posts.join(sized.hint(wanted), "community_name", "left_semi")
     return _thresholds(score_histogram(posts), sized)
 
@@ -67,11 +67,16 @@ def _thresholds(hist: DataFrame, sized: SizedRules) -> DataFrame:
     """
     hist = hist.withColumn("band", F.shiftright("score", BAND_BITS))
     down = Window.partitionBy("community").orderBy(F.desc("band"))
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bands = (
         hist.groupBy("community", "band")
         .agg(F.sum("n").alias("in_band"))
-        .withColumn("upto", F.sum("in_band").over(down))
-        .withColumn("total", F.sum("in_band").over(Window.partitionBy("community")))
+        .withColumns(
+            {
+                "upto": F.sum("in_band").over(down),
+                "total": F.sum("in_band").over(whole),
+            }
+        )
     )
     rank = (F.col("percentile") * F.col("total") / F.lit(100.0)).cast("long")
     targets = (

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,31 +122,39 @@ def harvest_run(
     sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")
     sizes = materialize(sizes, f"{folder}/sizes")
 
-    # Only stored tables go into a round, so plans do not grow with the rounds.
+    # Every round reads what all rounds before it stored as one table, so plans
+    # do not grow with the rounds.
     going: DataFrame | None = None
-    rounds: list[DataFrame] = []
+    labelled: DataFrame | None = None
     for page_no in range(1, limits.max_pages + 2):
         page = drop_sticky(rows.where(F.col("page_no") == page_no))
         if going is not None:
             page = page.join(going, "community_name", "left_semi")
-        current = _current(known, rounds)
-        labelled = label_rows(one_row_per_key(page), current, current)
-        rounds.append(materialize(labelled, f"{folder}/round={page_no}"))
+        current = _current(known, labelled)
+        batch = label_rows(one_row_per_key(page), current, current)
+        labelled = _add_round(batch, f"{folder}/labelled", page_no)
         if page_no > limits.max_pages:
             break
         # A community whose page has no rows is not among these and so ends.
-        stats = _page_stats(sizes, rounds[-1], "inner")
+        this_round = labelled.where(F.col("page_no") == page_no)
+        stats = _page_stats(sizes, this_round, "inner")
         going = stats.where(stop_reason(limits) == CONTINUE).select("community_name")
         if going.isEmpty():
             break
 
-    labelled = reduce(DataFrame.unionByName, rounds)
     pages = harvest_stop_rule(_page_stats(sizes, labelled, "left"), limits)
     last = F.max_by(F.struct(*[c for c in POST_COLUMNS if c not in KEY]), "page_no")
-    changed = _stored_after(rounds).groupBy(*KEY).agg(last.alias("v")).select(*KEY, "v.*")
+    stored = merged_rows(labelled, "page_no")
+    changed = stored.groupBy(*KEY).agg(last.alias("v")).select(*KEY, "v.*")
     return Harvest(labelled, pages, changed.select(*POST_COLUMNS))
 
 
+def _add_round(batch: DataFrame, path: str, page_no: int) -> DataFrame:
+    """Store a round's labelled rows; returns those of all rounds so far."""
+    batch.drop("page_no").write.mode("overwrite").parquet(f"{path}/page_no={page_no}")
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def _touched_by(store: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored rows that share a key or a link with ``rows``: all that ingest looks up."""
     slim = store.select(*KEY, "url", *FIRST_SEEN)
@@ -158,19 +164,12 @@ def _touched_by(store: DataFrame, rows: DataFrame) -> DataFrame:
     return by_key.unionByName(by_url).dropDuplicates(KEY)
 
 
-def _stored_after(rounds: list[DataFrame]) -> DataFrame:
-    """Rows the rounds stored, each with its ``page_no``."""
-    stored = [merged_rows(r).withColumn("page_no", F.lit(i)) for i, r in enumerate(rounds, 1)]
-    return reduce(DataFrame.unionByName, stored)
-
-
-def _current(known: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+def _current(known: DataFrame, labelled: DataFrame | None) -> DataFrame:
     """What the store holds under the harvest's keys and links after these rounds."""
-    if not rounds:
+    if labelled is None:
         return known
-    versions = known.withColumn("page_no", F.lit(0)).unionByName(
-        _stored_after(rounds).select(*known.columns, "page_no")
-    )
+    stored = merged_rows(labelled, "page_no").select(*known.columns, "page_no")
+    versions = known.withColumn("page_no", F.lit(0).cast("long")).unionByName(stored)
     values = F.struct(*[c for c in known.columns if c not in KEY])
     return versions.groupBy(*KEY).agg(F.max_by(values, "page_no").alias("v")).select(*KEY, "v.*")
 
