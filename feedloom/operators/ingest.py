@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.schema import FIRST_SEEN, KEY, POST_COLUMNS
+from feedloom.session import materialize, new_folder
 
 NEW, UPDATED, SKIPPED = "NEW", "UPDATED", "SKIPPED"
 CHUNK_ROWS = 65_536
@@ -64,19 +65,30 @@ def known_by_url(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.where(LINKED).join(held, "url", "left_semi")
 
 
+def stored_matches(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows that share a key or a link with the batch: all that ingest looks up.
+
+    In the semi joins a small batch is the broadcast side and the store is not
+    shuffled; with a large one Spark may split links that most posts share.
+    """
+    slim = store.select(*KEY, "url", *FIRST_SEEN)
+    by_key = slim.join(batch.select(*KEY), KEY, "left_semi")
+    links = batch.where(LINKED).select("url").distinct()
+    by_link = slim.where(LINKED).join(links, "url", "left_semi").select(by_key.columns)
+    return by_key.unionByName(by_link).dropDuplicates(KEY)
+
+
 def ingest_classify(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Batch rows with ``store_result``, plus what is stored under their key.
 
     ``stored_url`` and the ``stored_…`` first-seen columns are null for rows
     whose key is not stored. Every key may occur once; see ``one_row_per_key``.
 
-    The store is cut down to the batch's keys and links by semi joins, in which
-    a small batch is the broadcast side and the store is not shuffled.
+    The matching part of the store is kept as a table, so that the several looks
+    at it do not each read the store.
     """
-    known = store.join(batch.select(*KEY), KEY, "left_semi")
-    asked = batch.where(LINKED).select("url").distinct()
-    holders = store.where(LINKED).select("url").join(asked, "url", "left_semi")
-    return label_rows(batch, known, holders)
+    found = materialize(stored_matches(store, batch), new_folder(store.sparkSession, "found"))
+    return label_rows(batch, found, found)
 
 
 def label_rows(batch: DataFrame, known: DataFrame, holders: DataFrame) -> DataFrame:

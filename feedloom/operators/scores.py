@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.rules import SizedRules, size_rules
+from feedloom.session import materialize, new_folder
 
 # Scores are ranked in bands of 2**16, so neither the bands of a community nor
 # the scores of a band exceed 65,536 for 32-bit scores.
@@ -25,10 +26,15 @@ def active_count(posts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def score_histogram(posts: DataFrame) -> DataFrame:
-    """Posts per (community, score): small however hot a community is."""
-    return posts.groupBy(F.col("community_name").alias("community"), "score").agg(
+    """Posts per (community, score): small however hot a community is.
+
+    Stored, because a percentile takes two looks at it and the posts should be
+    read only once.
+    """
+    counts = posts.groupBy(F.col("community_name").alias("community"), "score").agg(
         F.count(F.lit(1)).alias("n")
     )
+    return materialize(counts, new_folder(posts.sparkSession, "scores"))
 
 
 def community_thresholds(posts: DataFrame, sized: SizedRules) -> DataFrame:

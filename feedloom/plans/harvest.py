@@ -6,8 +6,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.operators.ingest import NEW, label_rows, merged_rows, one_row_per_key
-from feedloom.schema import FIRST_SEEN, KEY, POST_COLUMNS
+from feedloom.operators.ingest import (
+    NEW,
+    label_rows,
+    merged_rows,
+    one_row_per_key,
+    stored_matches,
+)
+from feedloom.schema import KEY, POST_COLUMNS
 from feedloom.session import materialize, new_folder
 from feedloom.sources.listings import drop_sticky, stamp_harvest_time
 
@@ -102,8 +108,8 @@ def harvest_run(
     position. There are at most ``max_pages + 1`` rounds, each over one page per
     community, and every round's result is a stored table.
 
-    The store is read once, for the rows that share a key or a link with the
-    landed ones.
+    The store is read before the rounds, for the rows that share a key or a link
+    with the landed ones.
     """
     spark = store.sparkSession
     folder = new_folder(spark, "harvest")
@@ -118,7 +124,7 @@ def harvest_run(
         f"{folder}/rows",
         partition_by="page_no",
     )
-    known = materialize(_touched_by(store, rows), f"{folder}/known")
+    known = materialize(stored_matches(store, rows), f"{folder}/known")
     sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")
     sizes = materialize(sizes, f"{folder}/sizes")
 
@@ -155,15 +161,6 @@ def _add_round(batch: DataFrame, path: str, page_no: int) -> DataFrame:
     return batch.sparkSession.read.schema(batch.schema).parquet(path)
 
 
-def _touched_by(store: DataFrame, rows: DataFrame) -> DataFrame:
-    """Stored rows that share a key or a link with ``rows``: all that ingest looks up."""
-    slim = store.select(*KEY, "url", *FIRST_SEEN)
-    by_key = slim.join(rows.select(*KEY), KEY, "left_semi")
-    linked = rows.where("url <> ''").select("url").distinct()
-    by_url = slim.join(linked, "url", "left_semi").select(by_key.columns)
-    return by_key.unionByName(by_url).dropDuplicates(KEY)
-
-
 def _current(known: DataFrame, labelled: DataFrame | None) -> DataFrame:
     """What the store holds under the harvest's keys and links after these rounds."""
     if labelled is None:

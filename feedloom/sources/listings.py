@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.prefix import carry_in
 from feedloom.schema import LISTING, POST_COLUMNS
+from feedloom.session import materialize, new_folder
 
 PAGES_PER_CHUNK = 1_000
 
@@ -54,12 +55,13 @@ def page_cursor(rows: DataFrame) -> DataFrame:
     """Per page, the cursor of the next one: the name of the last row not pinned.
 
     A page of pinned rows only leaves the cursor as it was; before any other
-    row it is blank.
+    row it is blank. Pages are stored before cursors are carried over them, as
+    that takes two looks at them.
     """
     pages = rows.groupBy("community_name", "page_no").agg(
         F.max_by("name", F.when(~F.col("is_sticky"), F.col("pos"))).alias("own")
     )
-    pages = pages.withColumn(
+    pages = materialize(pages, new_folder(rows.sparkSession, "pages")).withColumn(
         "chunk", F.call_function("div", F.col("page_no"), F.lit(PAGES_PER_CHUNK).cast("long"))
     )
     latest = F.max_by("own", F.when(F.col("own").isNotNull(), F.col("page_no")))
