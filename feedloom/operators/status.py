@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import preview
@@ -12,6 +12,24 @@ IDLE, HARVESTING, ERROR = "IDLE", "HARVESTING", "ERROR"
 SITE_PREFIX = "https://www.reddit.com"
 
 
+_LOG = "feed string, ts long, entry_no long, status string"
+
+
+def log_status(feeds: DataFrame, path: str, ts: int, entry_no: int, status: str) -> None:
+    """Note a status of all ``feeds`` in the harvest log at ``path``."""
+    entry = feeds.select(
+        "feed",
+        F.lit(ts).cast("long").alias("ts"),
+        F.lit(entry_no).cast("long").alias("entry_no"),
+        F.lit(status).alias("status"),
+    )
+    entry.distinct().coalesce(1).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_LOG).parquet(path)
+
+
 def feed_status(feeds: DataFrame, harvest_log: DataFrame, now: int) -> DataFrame:
     """Latest status and harvest time of each feed, with the text a menu shows.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.ingest import one_row_per_key
+from feedloom.operators.status import ERROR, HARVESTING, IDLE, log_status
 from feedloom.plans.harvest import harvest_run
 from feedloom.session import materialize, new_folder
 from feedloom.sources.listings import drop_sticky, listing_normalize, stamp_harvest_time
@@ -30,6 +31,8 @@ def harvest_stream(
     root: str,
     checkpoint: str,
     run_ts: Callable[[int], int],
+    rules: DataFrame | None = None,
+    log: str | None = None,
     stop_rule: bool = False,
     once: bool = False,
 ) -> StreamingQuery:
@@ -37,16 +40,27 @@ def harvest_stream(
 
     Micro-batch b becomes store version b + 1, so a batch that is replayed after
     a failure replaces its own result. ``run_ts`` gives the harvest time of a
-    batch and must give a replayed batch the same time. With ``stop_rule`` each
-    batch is a harvest whose listings are followed only as deep as they pay;
-    otherwise all landed rows are ingested. ``once`` takes what has landed and
-    ends.
+    batch and must give a replayed batch the same time.
+
+    With ``stop_rule`` each batch is a harvest whose listings are followed only
+    as deep as they pay; otherwise all landed rows are ingested. ``rules`` limits
+    it to the communities of feeds, whose status is then noted in ``log``; a
+    batch that fails leaves them in error until its replay. ``once`` takes what
+    has landed and ends.
     """
 
+    def note(batch_id: int, status: str) -> None:
+        if rules is not None and log:
+            entry_no = 2 * batch_id + (status != HARVESTING)
+            log_status(rules, log, run_ts(batch_id), entry_no, status)
+
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
         posts = listing_normalize(batch)
+        if rules is not None:
+            wanted = rules.select(F.col("community").alias("community_name"))
+            posts = posts.join(wanted, "community_name", "left_semi")
         if stop_rule:
             store = read_posts(spark, root, version - 1)
             result = harvest_run(store, posts, run_ts(batch_id))
@@ -57,7 +71,16 @@ def harvest_stream(
         rows = materialize(one_row_per_key(rows), new_folder(spark, "batch"))
         merge_posts(spark, root, rows, version)
 
-    writer = listings.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+    def harvest(batch: DataFrame, batch_id: int) -> None:
+        note(batch_id, HARVESTING)
+        try:
+            ingest(batch, batch_id)
+        except Exception:
+            note(batch_id, ERROR)
+            raise
+        note(batch_id, IDLE)
+
+    writer = listings.writeStream.foreachBatch(harvest).option("checkpointLocation", checkpoint)
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=HARVEST_INTERVAL).start()

@@ -3,16 +3,18 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from feedloom.functions.timeops import DAY_SECONDS
 from feedloom.operators.filters import active_only, retention_window
 from feedloom.operators.ingest import by_sequence
+from feedloom.operators.status import feed_status, read_log
 from feedloom.schema import POST_COLUMNS
 from feedloom.session import shared_dir
+from feedloom.sources.listings import stream_listings
 from feedloom.sources.posts import merge_posts, posts_scan, posts_sink, read_posts
 from feedloom.streaming.harvest import harvest_stream
-from feedloom.sources.listings import stream_listings
 
 
 def placed(posts):
@@ -147,3 +149,28 @@ def test_stream_equals_batches(spark, make_posts, tmp_path, stop_rule):
     assert len(rows) == 85
     assert {r.time_stored for r in rows.values() if int(r.id) < 60} == {1_000}
     assert rows["45"].score == 900 and rows["44"].score == 44
+
+
+def test_a_failed_batch_shows_until_its_replay(spark, make_posts, tmp_path):
+    root, landing, log = str(tmp_path / "store"), tmp_path / "landing", str(tmp_path / "log")
+    landing.mkdir()
+    rules = spark.createDataFrame([("f", "funny"), ("f", "gifs")], "feed string, community string")
+    other = listing(2, 1, 2, community="elsewhere")
+    (landing / "a.json").write_text("\n".join(map(json.dumps, [listing(1, 1, 1), other])))
+
+    def status():
+        return feed_status(rules.select("feed").distinct(), read_log(spark, log), 700).first()
+
+    def run():
+        harvest_stream(
+            stream_listings(spark, str(landing)), root, str(tmp_path / "progress"),
+            run_ts=lambda batch_id: 100, rules=rules, log=log, once=True,
+        ).awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        run()  # there is no store yet
+    assert status().status_text == "Error"
+    posts_sink(make_posts([]), root, version=0)
+    run()
+    assert (status().status_text, status().last_harvest) == ("00:10 ago", 100)
+    assert list(by_id(read_posts(spark, root))) == ["1"]
