@@ -53,6 +53,16 @@ def with_link_parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.select(*keep, *["_" + name for name in PARTS])
 
 
+def computed_once(col: Column) -> Column:
+    """A select item with the value of ``col``, which later filters do not repeat.
+
+    A filter on a computed column is moved below the computation by copying it,
+    and copies of columns built in steps multiply. Exploding a one-element array
+    leaves rows as they are and stops that.
+    """
+    return F.explode(F.array(col))
+
+
 def in_domain(host: Column, domain: str) -> Column:
     """Whether ``host`` is ``domain`` or lies under it."""
     return (host == domain) | F.endswith(host, F.lit("." + domain))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.links import PARTS, with_link_parts
+from feedloom.functions.links import PARTS, computed_once, with_link_parts
 
 
 @dataclass(frozen=True)
@@ -110,10 +110,7 @@ def with_media(
 ) -> DataFrame:
     """Add nullable struct ``media{url, embed}``; one of the two is blank."""
     chain = F.expr(f"case {' '.join(_case(rule) for rule in rules)} end")
-    # Exploding a one-element array leaves rows as they are, but keeps a later
-    # filter on the media from being rewritten into copies of the whole chain.
-    media = F.explode(F.array(chain)).alias(name)
-    return with_link_parts(df, url).select(*df.columns, media)
+    return with_link_parts(df, url).select(*df.columns, computed_once(chain).alias(name))
 
 
 def media_kind(media: Column) -> Column:

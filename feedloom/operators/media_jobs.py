@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.links import in_domain, with_link_parts
+from feedloom.functions.links import computed_once, in_domain, with_link_parts
 from feedloom.functions.media import media_kind, with_media
 
 KINDS = ("embed", "mp4", "webm", "image", "none")
@@ -40,7 +40,8 @@ def domain_share(posts: DataFrame, domain: str) -> DataFrame:
     """
     hosts = (
         with_link_parts(posts.select("community_name", "url"))
-        .groupBy("community_name", F.col("_host").alias("host"))
+        .select("community_name", computed_once(F.col("_host")).alias("host"))
+        .groupBy("community_name", "host")
         .agg(F.count(F.lit(1)).alias("posts"))
     )
     totals = hosts.groupBy("community_name").agg(F.sum("posts").alias("community_posts"))
