@@ -9,7 +9,7 @@ are ordered by chunk, then seq, and a chunk is small enough for one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.schema import FIRST_SEEN, KEY, POST_COLUMNS
@@ -88,27 +88,41 @@ def ingest_classify(store: DataFrame, batch: DataFrame) -> DataFrame:
     at it do not each read the store.
     """
     found = materialize(stored_matches(store, batch), new_folder(store.sparkSession, "found"))
-    return label_rows(batch, found, found)
+    return label_rows(batch, found, link_holders(found))
+
+
+def link_holders(stored: DataFrame) -> DataFrame:
+    """Stored rows as holders of their links."""
+    return stored.where(LINKED).selectExpr("url", "1L as change")
+
+
+def link_changes(labelled: DataFrame) -> DataFrame:
+    """How labelled rows, once stored, change the number of holders of links."""
+    changes = labelled.selectExpr(
+        """inline(case store_result
+          when 'NEW' then array(struct(url as url, 1L as change))
+          when 'UPDATED' then array(struct(url as url, 1L as change),
+                                    struct(stored_url as url, -1L as change))
+        end)"""
+    )
+    return changes.where(LINKED)
 
 
 def label_rows(batch: DataFrame, known: DataFrame, holders: DataFrame) -> DataFrame:
     """``ingest_classify`` given what the store says.
 
-    ``known`` has the stored rows under the batch's keys and ``holders`` the URL
-    of every stored post that shares one with the batch; both may have more.
+    ``known`` has the stored rows under the batch's keys. ``holders`` has rows
+    of ``url`` and ``change``, which add up to the number of stored posts with
+    the link, for the links of the batch. Both may have more.
     """
-    stored = known.select(
-        *KEY,
-        F.coalesce("url", F.lit("")).alias("stored_url"),
-        *[F.col(c).alias(f"stored_{c}") for c in FIRST_SEEN],
+    stored = known.selectExpr(
+        *KEY, "coalesce(url, '') as stored_url", *[f"{c} as stored_{c}" for c in FIRST_SEEN]
     )
     rows = batch.join(stored, KEY, "left")
     winners = _first_free_candidates(rows, holders)
-    matched = F.col("stored_url").isNotNull()
-    result = (
-        F.when(matched, UPDATED)
-        .when((F.coalesce("url", F.lit("")) == "") | F.col("_wins").isNotNull(), NEW)
-        .otherwise(SKIPPED)
+    result = F.expr(
+        f"""case when stored_url is not null then '{UPDATED}'
+          when coalesce(url, '') = '' or _wins then '{NEW}' else '{SKIPPED}' end"""
     )
     return rows.join(winners, KEY, "left").withColumn("store_result", result).drop("_wins")
 
@@ -127,58 +141,46 @@ def _first_free_candidates(rows: DataFrame, holders: DataFrame) -> DataFrame:
     only the first matters. What is left per URL is a few rows per chunk, and
     the counts of earlier chunks are added to those.
     """
-    matched = F.col("stored_url").isNotNull()
-    url = F.coalesce(F.col("url"), F.lit(""))
-
-    def event(of: Column, change: int, candidate: bool) -> Column:
-        return F.struct(
-            of.alias("url"),
-            F.lit(change).cast("long").alias("change"),
-            F.lit(candidate).alias("candidate"),
-        )
-
-    moved = matched & (F.col("stored_url") != url)
-    events = F.when(
-        moved, F.array(event(F.col("stored_url"), -1, False), event(url, 1, False))
-    ).when(~matched, F.array(event(url, 0, True)))
-    in_batch = rows.select(*KEY, "chunk", "seq", F.inline(events)).where("url <> ''")
+    in_batch = rows.selectExpr(
+        *KEY,
+        "chunk",
+        "seq",
+        """inline(case
+          when stored_url is null
+            then array(struct(coalesce(url, '') as url, 0L as change, true as candidate))
+          when stored_url <> coalesce(url, '')
+            then array(struct(coalesce(url, '') as url, 1L as change, false as candidate),
+                       struct(stored_url as url, -1L as change, false as candidate))
+        end)""",
+    )
+    at_start = holders.groupBy("url").agg(F.sum("change").alias("change"))
     # Holders at the start have no chunk and so precede every chunk.
-    at_start = (
-        holders.where(LINKED)
-        .groupBy("url")
-        .agg(F.count(F.lit(1)).alias("change"))
-        .withColumn("candidate", F.lit(False))
+    timeline = in_batch.where(LINKED).unionByName(
+        at_start.withColumn("candidate", F.lit(False)), allowMissingColumns=True
     )
-    timeline = in_batch.unionByName(at_start, allowMissingColumns=True)
-
-    in_chunk = Window.partitionBy("url", "chunk").orderBy("seq")
-    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    whole = in_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = timeline.withColumns(
-        {
-            "seen": F.when(F.col("candidate"), F.coalesce(F.sum("change").over(earlier), F.lit(0))),
-            "chunk_change": F.sum("change").over(whole),
-            "head": F.row_number().over(in_chunk) == 1,
-        }
+    in_chunk = "partition by url, chunk order by seq"
+    counted = timeline.selectExpr(
+        "*",
+        f"""case when candidate then coalesce(sum(change) over
+          ({in_chunk} rows between unbounded preceding and 1 preceding), 0) end as seen""",
+        f"""sum(change) over
+          ({in_chunk} rows between unbounded preceding and unbounded following) as chunk_change""",
+        f"row_number() over ({in_chunk}) = 1 as head",
     )
     firsts = counted.groupBy("url", "chunk", "seen").agg(
-        F.min(F.when(F.col("candidate"), F.struct("seq", *KEY))).alias("first"),
-        F.max("chunk_change").alias("chunk_change"),
+        F.expr(f"min(case when candidate then struct(seq, {', '.join(KEY)}) end) as first"),
+        F.expr("max(chunk_change) as chunk_change"),
         # The chunk's change once over all its rows.
-        F.sum(F.when(F.col("head"), F.col("chunk_change")).otherwise(0)).alias("step"),
-    )
-    through = (
-        Window.partitionBy("url")
-        .orderBy("chunk")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        F.expr("sum(case when head then chunk_change else 0 end) as step"),
     )
-    held = F.sum("step").over(through) - F.col("chunk_change") + F.col("seen")
+    held = """sum(step) over (partition by url order by chunk
+      range between unbounded preceding and current row) - chunk_change + seen as held"""
     return (
-        firsts.withColumn("held", held)
+        firsts.selectExpr("*", held)
         .where("held = 0")
         .groupBy("url")
-        .agg(F.min(F.struct("chunk", "first")).alias("win"))
-        .select(*[F.col(f"win.first.{k}").alias(k) for k in KEY], F.lit(True).alias("_wins"))
+        .agg(F.expr("min(struct(chunk, first)) as win"))
+        .selectExpr(*[f"win.first.{k} as {k}" for k in KEY], "true as _wins")
     )
 
 
@@ -187,9 +189,9 @@ def merged_rows(labelled: DataFrame, *more: str) -> DataFrame:
 
     ``more`` names further columns to pass through.
     """
-    kept = {c: F.coalesce(f"stored_{c}", c) for c in FIRST_SEEN}
-    return labelled.where(F.col("store_result") != SKIPPED).select(
-        *[kept.get(c, F.col(c)).alias(c) for c in [*POST_COLUMNS, *more]]
+    kept = {c: f"coalesce(stored_{c}, {c}) as {c}" for c in FIRST_SEEN}
+    return labelled.where(f"store_result <> '{SKIPPED}'").selectExpr(
+        *[kept.get(c, c) for c in [*POST_COLUMNS, *more]]
     )
 
 

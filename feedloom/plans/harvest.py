@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from feedloom.operators.ingest import (
     NEW,
     label_rows,
+    link_changes,
+    link_holders,
     merged_rows,
     one_row_per_key,
     stored_matches,
@@ -136,8 +138,10 @@ def harvest_run(
         page = drop_sticky(rows.where(F.col("page_no") == page_no))
         if going is not None:
             page = page.join(going, "community_name", "left_semi")
-        current = _current(known, labelled)
-        batch = label_rows(one_row_per_key(page), current, current)
+        holders = link_holders(known)
+        if labelled is not None:
+            holders = holders.unionByName(link_changes(labelled))
+        batch = label_rows(one_row_per_key(page), _current(known, labelled), holders)
         labelled = _add_round(batch, f"{folder}/labelled", page_no)
         if page_no > limits.max_pages:
             break
@@ -162,13 +166,14 @@ def _add_round(batch: DataFrame, path: str, page_no: int) -> DataFrame:
 
 
 def _current(known: DataFrame, labelled: DataFrame | None) -> DataFrame:
-    """What the store holds under the harvest's keys and links after these rounds."""
+    """What the store holds under the harvest's keys after these rounds."""
     if labelled is None:
         return known
     stored = merged_rows(labelled, "page_no").select(*known.columns, "page_no")
     versions = known.withColumn("page_no", F.lit(0).cast("long")).unionByName(stored)
-    values = F.struct(*[c for c in known.columns if c not in KEY])
-    return versions.groupBy(*KEY).agg(F.max_by(values, "page_no").alias("v")).select(*KEY, "v.*")
+    values = ", ".join(c for c in known.columns if c not in KEY)
+    newest = F.expr(f"max_by(struct({values}), page_no) as v")
+    return versions.groupBy(*KEY).agg(newest).select(*KEY, "v.*")
 
 
 def _page_stats(sizes: DataFrame, labelled: DataFrame, how: str) -> DataFrame:
