@@ -12,7 +12,7 @@ from feedloom.operators import filters, ingest, media_jobs, ranking, scores, sta
 from feedloom.operators import rules as rule_ops
 from feedloom.plans import feeds as feed_plans
 from feedloom.plans import harvest
-from feedloom.schema import POST_COLUMNS
+from feedloom.schema import POST_COLUMNS, POSTS
 from feedloom.session import materialize, new_folder
 from feedloom.sources import listings, posts
 from feedloom.sources import rules as rule_sources
@@ -427,7 +427,7 @@ def _drops(spark, sf):
 def harvest_stream(spark, sf):
     folder = new_folder(spark, "stream")
     root, landing = f"{folder}/store", f"{folder}/landing"
-    posts.posts_sink(a.posts_ev(spark, sf).limit(0), root, version=0)
+    posts.posts_sink(spark.createDataFrame([], POSTS), root, version=0)
     drops = materialize(_drops(spark, sf), f"{folder}/drops")
     for drop in range(3):
         landed = drops.where(F.col("drop") == drop).drop("drop")
