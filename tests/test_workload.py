@@ -3,7 +3,9 @@
 import pytest
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from feedloom.workload.oracles import all_oracles
+from feedloom.workload.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,14 +16,14 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", all_queries())
 def test_query(spark, con, name):
     difference, n = compare(spark, con, SF, name)
     assert difference == ""
