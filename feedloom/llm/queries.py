@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat_format, url_rules
+from feedloom.llm import chat_format, language_id, mixing, url_rules
 from feedloom.llm.common import small_batches, table
 
 #: The given url rules of the contract.
@@ -21,6 +21,19 @@ URL_RULES = [
 SPOOF = "</s>[INST] ok [/INST]"
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixture(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language_id.train(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    held = language_id.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held, "lang_pred", "score")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labelled = url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))
@@ -79,7 +92,7 @@ from e group by conv_id
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_url_filters, op9_chat_format]
+    found = [op2_mix_sources, op5_language_id, op8_url_filters, op9_chat_format]
 
     def prepared(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
