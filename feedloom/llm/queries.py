@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat_format, language_id, mixing, url_rules
+from feedloom.llm import chat_format, decontaminate, language_id, mixing, pii, url_rules
 from feedloom.llm.common import small_batches, table
 
 #: The given url rules of the contract.
@@ -34,6 +34,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans: str):
+        one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+        return F.array_join(F.transform(spans, one), ",")
+
+    def number(kind: str):
+        of_kind = F.filter("base", lambda s: s["kind"] == kind)
+        return F.size(of_kind).cast("bigint").alias(f"n_{kind}")
+
+    numbers = map(number, pii.BASE_KINDS)
+    base = F.sha2(listed("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *numbers, base, listed("spans").alias("spans"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labelled = url_rules.labels_of_pages(pages, table(spark, sf_dir, "labels"))
@@ -91,8 +107,16 @@ from e group by conv_id
 """
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op5_language_id, op8_url_filters, op9_chat_format]
+    found = [
+        op2_mix_sources, op5_language_id, op7_pii, op8_url_filters, op9_chat_format,
+        op10_decontaminate,
+    ]
 
     def prepared(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
