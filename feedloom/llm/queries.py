@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat_format, decontaminate, language_id, mixing, pii, url_rules
+from feedloom.llm import (
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    mixing,
+    pii,
+    url_rules,
+)
 from feedloom.llm.common import small_batches, table
 
 #: The given url rules of the contract.
@@ -26,6 +34,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = language_id.train(docs)
@@ -114,7 +126,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_mix_sources, op5_language_id, op7_pii, op8_url_filters, op9_chat_format,
+        op2_mix_sources, op3_embedding_dedup, op5_language_id, op7_pii, op8_url_filters, op9_chat_format,
         op10_decontaminate,
     ]
 
