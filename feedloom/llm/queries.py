@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import (
     chat_format,
+    class_lm,
     decontaminate,
     embedding_dedup,
     language_id,
@@ -38,6 +39,15 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = class_lm.held_out(F.col("doc_id"))
+    model = class_lm.train(docs.where("doc_id is not null").where(~held))
+    return class_lm.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = language_id.train(docs)
@@ -126,7 +136,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_mix_sources, op3_embedding_dedup, op5_language_id, op7_pii, op8_url_filters, op9_chat_format,
+        op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id, op7_pii, op8_url_filters, op9_chat_format,
         op10_decontaminate,
     ]
 
