@@ -13,6 +13,7 @@ from feedloom.llm import (
     decontaminate,
     embedding_dedup,
     language_id,
+    minhash_dedup,
     mixing,
     pii,
     url_rules,
@@ -56,6 +57,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "lang_pred", "score")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -136,7 +141,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id, op7_pii, op8_url_filters, op9_chat_format,
+        op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id,
+        op6_minhash_dedup, op7_pii, op8_url_filters, op9_chat_format,
         op10_decontaminate,
     ]
 
