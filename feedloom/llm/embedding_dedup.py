@@ -21,7 +21,7 @@ from feedloom.llm.components import components
 THRESHOLD = 0.93
 #: k-means is fitted on a sample of at most about this many rows or bytes.
 FIT_ROWS, FIT_BYTES = 20_000, 32_000_000
-CELL_ROWS, MAX_CELLS = 1_000, 1_024
+CELL_ROWS, MAX_CELLS = 4_000, 1_024
 #: Rows of one side of a blocked product.
 BLOCK_ROWS = 1_500
 
@@ -58,8 +58,13 @@ def usable(embedding: Column, label: Column) -> Column:
 
 
 def fit_centroids(vectors: DataFrame) -> Centroids:
-    """Centroids by dimension, from a bounded sample chosen by a hash of ``rep``."""
-    n, widest = vectors.agg(F.count(F.lit(1)), F.max("dim")).first()
+    """Centroids by dimension, from a bounded sample chosen by a hash of ``rep``.
+
+    Vectors only meet inside their label, so the largest label settles how many cells
+    there are.
+    """
+    per_label = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim"))
+    n, widest, largest = per_label.agg(F.sum("n"), F.max("dim"), F.max("n")).first()
     if not n:
         return {}
     rows = min(FIT_ROWS, max(1, FIT_BYTES // (4 * widest)))
@@ -69,7 +74,7 @@ def fit_centroids(vectors: DataFrame) -> Centroids:
     out = {}
     for dim, part in sample.sort_values("rep").groupby("dim"):
         x = unit(np.stack(part["embedding"].to_numpy()))
-        out[int(dim)] = spherical_kmeans(x, min(MAX_CELLS, max(1, round(n / CELL_ROWS))))
+        out[int(dim)] = spherical_kmeans(x, min(MAX_CELLS, max(1, round(largest / CELL_ROWS))))
     return out
 
 
