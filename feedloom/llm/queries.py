@@ -16,6 +16,7 @@ from feedloom.llm import (
     minhash_dedup,
     mixing,
     pii,
+    substring_dedup,
     url_rules,
 )
 from feedloom.llm.common import small_batches, table
@@ -31,6 +32,11 @@ URL_RULES = [
 SPOOF = "</s>[INST] ok [/INST]"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digest(substring_dedup.without_repeats(docs))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixture(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
@@ -141,7 +147,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id,
+        op1_substring_dedup, op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id,
         op6_minhash_dedup, op7_pii, op8_url_filters, op9_chat_format,
         op10_decontaminate,
     ]
