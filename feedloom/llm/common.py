@@ -17,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small enough for a worker's memory."""
+    """Keep Arrow batches of texts small enough for a worker's memory.
+
+    Also lets Spark drop an execution's shuffle files when it ends: later steps read
+    what it stored in the shared folder.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

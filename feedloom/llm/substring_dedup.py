@@ -3,8 +3,8 @@
 Rounds replace runs of one symbol, then pairs of neighbours, by new symbols whose names
 are hashes of what they replace, so equal passages get equal symbols everywhere but at
 their ends, on any machine and without a dictionary. Of each symbol it is known which
-words settle that it is there. A window of words is looked up under the highest symbol
-that its own words settle: equal windows have equal ones. Only symbols that occur again
+words settle that it is there. A window of words is looked up under a symbol of the
+highest level that its own words settle: equal windows have equal ones. Only symbols that occur again
 are looked into, and there windows are compared.
 """
 
@@ -21,7 +21,10 @@ from feedloom.llm.common import stored
 from feedloom.llm.words import chunks, hash_words, mix, split_words, text_bytes
 
 WINDOW = 20
-ROUNDS = 4
+#: Bytes of a window's hash. With its symbol's name, 15 bytes tell windows apart.
+HASH_BYTES = 7
+#: A round replaces runs, then pairs. After two, a symbol is mostly three to five words.
+ROUNDS = 2
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FAR = np.int64(1) << 40
@@ -90,7 +93,9 @@ def anchored(
 ) -> tuple[np.ndarray, ...]:
     """First word of each window, its symbol's name, a number of that symbol's occurrence, and a hash.
 
-    ``begin`` has the first word of each text and the number of words at its end.
+    Of the symbols of one level that a window settles, the one of the least hash counts,
+    so that neighbouring windows mostly share it. ``begin`` has the first word of each
+    text and the number of words at its end.
     """
     n = len(words)
     n_windows = np.maximum(np.diff(begin) - window + 1, 0)
@@ -103,15 +108,24 @@ def anchored(
         new &= (symbols.hi - symbols.lo <= window) & (symbols.lo >= 0)
         at = np.flatnonzero(new)
         if len(at):
-            # the first new symbol that no word before the window settles
-            before = np.zeros(n + 1, np.int64)
-            before[1:] = np.cumsum(np.bincount(symbols.lo[at], minlength=n))
-            k = before[start]
-            ok = k < len(at)
-            k = np.minimum(k, len(at) - 1)
-            ok &= (symbols.hi[at[k]] <= start + window) & (symbols.lo[at[k]] >= start)
-            name[ok] = _names(symbols.name[at[k[ok]]], salt=100 + level)
-            occurrence[ok] = taken + k[ok]
+            first = np.zeros(n + 1, np.int64)  # settled symbols that begin before a word
+            first[1:] = np.cumsum(np.bincount(symbols.lo[at], minlength=n))
+            upto = np.cumsum(np.bincount(symbols.hi[at], minlength=n + 1))  # that end by it
+            k, last = first[start], upto[start + window]
+            rank = mix(symbols.name[at])
+            best, least = np.full(len(start), -1), np.full(len(start), ~np.uint64(0))
+            todo = np.flatnonzero(k < last)
+            k = k[todo]
+            while len(todo):
+                better = rank[k] < least[todo]
+                rows = todo[better]
+                least[rows], best[rows] = rank[k[better]], k[better]
+                k = k + 1
+                more = k < last[todo]
+                todo, k = todo[more], k[more]
+            ok = best >= 0
+            name[ok] = _names(symbols.name[at[best[ok]]], salt=100 + level)
+            occurrence[ok] = taken + best[ok]
         taken += len(at)
     powers = np.full(n + 1, _BASE, np.uint64)
     powers[:1] = 1
@@ -122,7 +136,7 @@ def anchored(
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * powers[:-1], out=total[1:])
     value = mix((total[start + window] - total[start]) * inverse[start])
-    return start, name, occurrence, (value >> np.uint64(32)).astype(np.uint32)
+    return start, name, occurrence, value
 
 
 def _text_print(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -176,8 +190,11 @@ def _symbol_counts(docs: DataFrame, window: int) -> DataFrame:
     return rows.groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 1").select("symbol")
 
 
-def _stretches(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, doc_id, print, at, windows): stretches of windows that are looked up under one symbol."""
+def _stretches(docs: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
+    """(symbol, doc_id, print, at, windows): stretches of windows that are looked up under one symbol.
+
+    ``print`` tells rows of one doc_id apart, and is 0 where no doc_id is repeated.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,19 +203,21 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 start, name, first, value = _rows(words, text, begin, window)
                 of = text[start[first]]
                 at = start[first] - begin[of]
-                ends = np.r_[first, len(start)].astype(np.int32)
+                ends = (np.r_[first, len(start)] * HASH_BYTES).astype(np.int32)
+                hashes = value.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+                windows = [None, pa.py_buffer(ends), pa.py_buffer(hashes)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(name.view(np.int64)),
                         batch.column("doc_id").take(pa.array(lo + of)),
-                        pa.array(_text_print(words, begin)[of]),
+                        pa.array(_text_print(words, begin)[of] if repeated_ids else np.zeros(len(of), np.int32)),
                         pa.array(at.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int32))),
+                        pa.Array.from_buffers(pa.binary(), len(of), windows),
                     ],
                     ["symbol", "doc_id", "print", "at", "windows"],
                 )
 
-    shape = f"symbol long, doc_id {id_type}, print int, at int, windows array<int>"
+    shape = f"symbol long, doc_id {id_type}, print int, at int, windows binary"
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
@@ -207,26 +226,30 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Earlier is a smaller doc_id, or the same and an earlier start. ``last`` is not in it.
     """
+    repeated_ids = _repeated_ids(docs)
     again = stored(_symbol_counts(docs, window), "repeat-symbols")
-    found = _stretches(docs, window).join(again, "symbol", "left_semi")
+    found = _stretches(docs, window, repeated_ids).join(again, "symbol", "left_semi")
     found = stored(found, "repeat-stretches")
     place = F.struct("doc_id", "at")
+    n_windows = (F.length("windows") / HASH_BYTES).cast("int")
+    number = F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("i")
+    value = F.expr(f"substring(windows, i * {HASH_BYTES} + 1, {HASH_BYTES})").alias("value")
     key = ["symbol", "windows"]
     # Of stretches that are equal throughout, all but the first are repeats as a whole.
     firsts = stored(found.groupBy(*key).agg(F.min(place).alias("p")), "repeat-firsts")
     whole = (
         found.join(firsts, key)
         .where(~place.eqNullSafe(F.col("p")))
-        .select("doc_id", "print", F.col("at").alias("first"), (F.col("at") + F.size("windows") - 1 + window).alias("last"))
+        .select("doc_id", F.when(F.lit(repeated_ids), F.col("print")).alias("print"), F.col("at").alias("first"), (F.col("at") + n_windows - 1 + window).alias("last"))
     )
     # Windows of different stretches under one symbol are compared one by one.
     several = firsts.groupBy("symbol").count().where("count > 1").select("symbol")
     several = stored(several, "repeat-several")
     single = stored(
         firsts.join(several, "symbol", "left_semi")
-        .select("symbol", "p", F.posexplode("windows").alias("i", "value"))
+        .select("symbol", "p", "windows", number)
         .select(
-            "symbol", "value",
+            "symbol", value,
             F.struct(F.col("p.doc_id").alias("doc_id"), (F.col("p.at") + F.col("i")).alias("at")).alias("p"),
         ),
         "repeat-windows",
@@ -244,9 +267,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     # which of the rows of that doc_id and place it is
     prints = (
-        found.select("symbol", "doc_id", "print", "at", F.posexplode("windows").alias("i", "value"))
-        .select("symbol", "value", "doc_id", "print", (F.col("at") + F.col("i")).alias("first"))
-    ) if _repeated_ids(docs) else None
+        found.select("symbol", "doc_id", "print", "at", "windows", number)
+        .select("symbol", value, "doc_id", "print", (F.col("at") + F.col("i")).alias("first"))
+    ) if repeated_ids else None
     if prints is not None:
         one = one.drop("print").join(
             prints.withColumnRenamed("doc_id", "id"),
