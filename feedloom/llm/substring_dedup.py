@@ -44,9 +44,12 @@ class Symbols:
     def __init__(self, name: np.ndarray, text: np.ndarray):
         place = np.arange(len(name), dtype=np.int64)
         self.name, self.text, self.lo, self.hi = name, text, place, place + 1
+        self.n_words = np.ones(len(name), np.int64)
 
     def _merge(self, first: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         last = np.r_[first[1:], len(self.name)] - 1
+        if len(first):
+            self.n_words = np.add.reduceat(self.n_words, first)
         self.name, self.text = name, self.text[first]
         self.lo, self.hi = lo[first], hi[last]
 
@@ -93,8 +96,9 @@ def anchored(
 ) -> tuple[np.ndarray, ...]:
     """First word of each window, its symbol's name, a number of that symbol's occurrence, and a hash.
 
-    Of the symbols of one level that a window settles, the one of the least hash counts,
-    so that neighbouring windows mostly share it. ``begin`` has the first word of each
+    Of the symbols of one level that a window settles, the one of most words counts, which
+    is the least likely to occur again by chance; then the one of the least hash, so that
+    neighbouring windows mostly share it. ``begin`` has the first word of each
     text and the number of words at its end.
     """
     n = len(words)
@@ -112,7 +116,8 @@ def anchored(
             first[1:] = np.cumsum(np.bincount(symbols.lo[at], minlength=n))
             upto = np.cumsum(np.bincount(symbols.hi[at], minlength=n + 1))  # that end by it
             k, last = first[start], upto[start + window]
-            rank = mix(symbols.name[at])
+            shortness = np.uint64(15) - np.minimum(symbols.n_words[at], 15).astype(np.uint64)
+            rank = (mix(symbols.name[at]) >> np.uint64(4)) | (shortness << np.uint64(60))
             best, least = np.full(len(start), -1), np.full(len(start), ~np.uint64(0))
             todo = np.flatnonzero(k < last)
             k = k[todo]
