@@ -106,6 +106,8 @@ def anchored(
     start = np.repeat(begin[:-1] - (np.cumsum(n_windows) - n_windows), n_windows)
     start = start + np.arange(int(n_windows.sum()))
     name, occurrence = words[start].copy(), start.copy()
+    if not len(start):
+        return start, name, occurrence, words[:0]
     symbols, taken = Symbols(words, text), n
     for level in range(1, 2 * ROUNDS + 1):
         new = (symbols.runs if level % 2 else symbols.pairs)(level)
