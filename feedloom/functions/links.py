@@ -32,7 +32,9 @@ _STEPS = [
         "_fragment": "coalesce(_fragment, '')",
         "_userinfo": "left(_authority, char_length(_authority) - char_length(_hostport))",
         "_host": "lower(substring_index(_hostport, ':', 1))",
-        "_route": r"case when _scheme = '' or _hostport rlike r'[\x00-\x20\\^`{|}\x7f]' then null"
+        "_route": r"case when _scheme = '' or _hostport rlike r'[\x00-\x20\\^`{|}\x7f%]' then null"
+        r" when {url} rlike r'[\x00-\x1f\x7f]' then null"
+        r" when not _hostport rlike r'^(\[[^\]]*\]|[^:]*)(:[0-9]*)?\z' then null"
         " when contains(_path, '%') then try_url_decode(replace(_path, '+', '%2B'))"
         " else _path end",
     },

@@ -41,7 +41,7 @@ def community_score_filter(posts: DataFrame, thresholds: DataFrame, sized: Sized
     return posts.join(sized.hint(bars), "community_name").where("score >= min_score")
 
 
-def feed_scan_cap(candidates: DataFrame, sized: SizedRules, cap: int = SCAN_CAP) -> DataFrame:
+def feed_scan_cap(candidates: DataFrame, sized: SizedRules, cap: int) -> DataFrame:
     """The newest ``cap`` candidates of each feed, ties by id.
 
     A histogram over stored seconds (at most one row per feed and second) finds

@@ -39,13 +39,19 @@ class SizedRules:
 
 
 def size_rules(rules: DataFrame) -> SizedRules:
-    """Measure the rules table; of repeated (feed, community) rows the last one counts."""
+    """Measure the rules table; of repeated (feed, community) rows the last one counts.
+
+    Last by document, place of the feed in it and place of the community in the feed.
+    """
     pair = F.struct("feed", "community")
     n, distinct, max_daily = rules.agg(
         F.count(F.lit(1)), F.count_distinct(pair), F.coalesce(F.max("max_daily"), F.lit(0))
     ).first()
     if n != distinct:
-        position = F.struct(*[c for c in ("feed_no", "community_no") if c in rules.columns])
+        place = ("document", "feed_no", "community_no")
+        if missing := [c for c in place if c not in rules.columns]:
+            raise ValueError(f"repeated rules, and no {', '.join(missing)} to order them by")
+        position = F.struct(*place)
         others = [c for c in rules.columns if c not in ("feed", "community")]
         rules = (
             rules.groupBy("feed", "community")

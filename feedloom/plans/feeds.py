@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from feedloom.functions.media import with_media
 from feedloom.functions.timeops import age_in_days, day_boundary
 from feedloom.operators.filters import (
-    SCAN_CAP,
     active_only,
     community_score_filter,
     feed_scan_cap,
@@ -28,9 +27,11 @@ def recent_posts(posts: DataFrame, now: int) -> DataFrame:
 
 
 def feed_candidates(
-    posts: DataFrame, sized: SizedRules, now: int, tz: str = "UTC", scan_cap: int = SCAN_CAP
+    posts: DataFrame, sized: SizedRules, now: int, tz: str = "UTC", scan_cap: int | None = None
 ) -> DataFrame:
-    """Posts over their community's threshold, capped per feed, with ``age_in_days``.
+    """Posts over their community's threshold, with ``age_in_days``.
+
+    With ``scan_cap`` only the newest so many of each feed; None keeps all.
 
     The thresholds, one row per rule, are stored once: two steps need them, and
     their plan reads all recent posts. Posts meet them in a broadcast join; only
@@ -44,13 +45,15 @@ def feed_candidates(
     thresholds = materialize(thresholds, new_folder(posts.sparkSession, "thresholds"))
     candidates = community_score_filter(recent, thresholds, sized).drop("min_score")
     boundary = day_boundary(F.lit(now).cast("long"), tz)
-    return feed_scan_cap(candidates, sized, scan_cap).withColumn(
+    if scan_cap is not None:
+        candidates = feed_scan_cap(candidates, sized, scan_cap)
+    return candidates.withColumn(
         "age_in_days", age_in_days(boundary, F.col("time_stored"))
     )
 
 
 def build_all_feeds(
-    posts: DataFrame, rules: DataFrame, now: int, tz: str = "UTC", scan_cap: int = SCAN_CAP
+    posts: DataFrame, rules: DataFrame, now: int, tz: str = "UTC", scan_cap: int | None = None
 ) -> DataFrame:
     """Every feed's posts at ``now`` with age, media and ``display_rank``.
 
@@ -68,7 +71,7 @@ def build_feed(
     feed: str,
     now: int,
     tz: str = "UTC",
-    scan_cap: int = SCAN_CAP,
+    scan_cap: int | None = None,
 ) -> DataFrame:
     """One feed's posts at ``now``."""
     return build_all_feeds(posts, rules.where(F.col("feed") == feed), now, tz, scan_cap)

@@ -2,8 +2,8 @@
 
 Each version holds new files for the dates it changed, and a manifest that says
 for every date which version's files are current. The manifest is written last,
-so a version that did not finish is never read, and writing a version again
-replaces it.
+so a version that did not finish is never read. A version is only written again by
+who wrote it, and only while it is the newest.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from feedloom.functions.timeops import stored_date
 from feedloom.operators.ingest import ingest_classify, merged_rows
@@ -21,6 +22,7 @@ _MANIFEST = T.StructType(
     [
         T.StructField("stored_date", T.DateType()),
         T.StructField("data_version", T.LongType()),
+        T.StructField("writer", T.StringType()),
         T.StructField("version", T.LongType()),
     ]
 )
@@ -52,17 +54,27 @@ def write_partitions(posts: DataFrame, path: str) -> None:
     spread.write.mode("overwrite").partitionBy("stored_date").parquet(path)
 
 
-def posts_sink(posts: DataFrame, root: str, version: int = 1) -> None:
-    """Store posts as a complete version."""
+def posts_sink(posts: DataFrame, root: str, version: int | None = None) -> None:
+    """Store posts as a complete version, by default the one after the newest."""
+    if version is None:
+        version = (newest_version(posts.sparkSession, root) or 0) + 1
+    refuse_overwrite(posts.sparkSession, root, version, "sink")
     write_partitions(posts, _data(root, version))
     spark = posts.sparkSession
     dates = spark.read.schema(_STORED).parquet(_data(root, version)).select("stored_date").distinct()
-    _commit(dates.withColumn("data_version", F.lit(version).cast("long")), root, version)
+    dates = dates.withColumn("data_version", F.lit(version).cast("long"))
+    _commit(dates, root, version, "sink")
 
 
 def read_posts(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The store as of ``version`` (the newest by default), with ``stored_date``."""
-    current = _manifest(spark, root, version).collect()  # one row per stored day
+    wanted = _latest(spark, root) if version is None else version
+    if wanted is None:
+        return spark.createDataFrame([], _STORED)
+    known = _manifests(spark, root).where(F.col("version") == wanted)
+    if version is not None and known.isEmpty() and not _is_there(spark, root, version):
+        raise ValueError(f"no version {version} in {root}")
+    current = known.collect()  # one row per stored day
     folders = [f"{_data(root, r.data_version)}/stored_date={r.stored_date}" for r in current]
     if not folders:
         return spark.createDataFrame([], _STORED)
@@ -70,41 +82,96 @@ def read_posts(spark: SparkSession, root: str, version: int | None = None) -> Da
     return reader.parquet(*folders).drop("version")
 
 
-def merge_posts(spark: SparkSession, root: str, batch: DataFrame, version: int) -> DataFrame:
+def posts_before(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The store as the writer of ``version`` finds it."""
+    before = version_before(spark, root, version)
+    if before is None:
+        return spark.createDataFrame([], _STORED)
+    return read_posts(spark, root, before)
+
+
+def merge_posts(
+    spark: SparkSession, root: str, batch: DataFrame, version: int, writer: str | None = None
+) -> DataFrame:
     """Upsert a batch into the store as ``version``; returns the labelled batch.
 
-    Only the days that hold an updated row or get a new one are rewritten.
+    Only the days that hold an updated row or get a new one are rewritten. A replay
+    by the same ``writer`` replaces the version it wrote before.
     """
-    store = read_posts(spark, root, _latest(spark, root, below=version))
+    refuse_overwrite(spark, root, version, writer)
+    store = posts_before(spark, root, version)
     labelled = materialize(ingest_classify(store, batch), new_folder(spark, "ingest"))
     changed = merged_rows(labelled)
-    store_changed(spark, store, changed, root, version)
+    store_changed(spark, store, changed, root, version, writer)
     return labelled
 
 
 def store_changed(
-    spark: SparkSession, store: DataFrame, changed: DataFrame, root: str, version: int
+    spark: SparkSession,
+    store: DataFrame,
+    changed: DataFrame,
+    root: str,
+    version: int,
+    writer: str | None = None,
 ) -> None:
     """Write ``version`` = store with ``changed`` rows put in by key."""
+    refuse_overwrite(spark, root, version, writer)
     touched = [
         row[0] for row in changed.select(stored_date(F.col("time_stored"))).distinct().collect()
     ]  # days, so few
     rest = store.where(F.col("stored_date").isin(touched)).select(*POST_COLUMNS)
     rest = rest.join(changed.select(*KEY), KEY, "left_anti")
     write_partitions(rest.unionByName(changed), _data(root, version))
-    old = _manifest(spark, root, _latest(spark, root, below=version)).select(
-        "stored_date", "data_version"
-    )
+    before = F.lit(version_before(spark, root, version)).cast("long")
+    old = _manifests(spark, root).where(F.col("version").eqNullSafe(before))
+    old = old.select("stored_date", "data_version")
     old = old.where(~F.col("stored_date").isin(touched))
     new = spark.createDataFrame([(day, version) for day in touched], old.schema)
-    _commit(old.unionByName(new), root, version)
+    _commit(old.unionByName(new), root, version, writer)
 
 
 def _data(root: str, version: int) -> str:
     return f"{root}/data/version={version}"
 
 
-def _commit(manifest: DataFrame, root: str, version: int) -> None:
+def newest_version(spark: SparkSession, root: str) -> int | None:
+    """The newest version with posts; None in a store that is not there or empty."""
+    try:
+        return _latest(spark, root)
+    except AnalysisException:  # no such folder yet
+        return None
+
+
+def next_version(spark: SparkSession, root: str, writer: str) -> int:
+    """The version that ``writer`` has written before, else the one after the newest."""
+    newest = newest_version(spark, root)
+    if newest is None:
+        return 1
+    own = _manifests(spark, root).where(F.col("writer") == writer).agg(F.max("version")).first()[0]
+    return own or newest + 1
+
+
+def refuse_overwrite(spark: SparkSession, root: str, version: int, writer: str | None) -> None:
+    """Raise if writing ``version`` would replace files that the store may still read."""
+    newest = newest_version(spark, root)
+    if newest is None:
+        return
+    named = (F.col("data_version") == version) & (F.col("version") != version)
+    others = (F.col("version") == version) & ~F.col("writer").eqNullSafe(F.lit(writer))
+    if version < newest or not _manifests(spark, root).where(named | others).isEmpty():
+        raise ValueError(f"version {version} of {root} is in use; the newest is {newest}")
+
+
+def _is_there(spark: SparkSession, root: str, version: int) -> bool:
+    try:
+        spark.read.schema(_MANIFEST).parquet(f"{root}/manifest/version={version}")
+    except AnalysisException:
+        return False
+    return True
+
+
+def _commit(manifest: DataFrame, root: str, version: int, writer: str | None) -> None:
+    manifest = manifest.withColumn("writer", F.lit(writer).cast("string"))
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
 
 
@@ -112,13 +179,11 @@ def _manifests(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
 
 
-def _latest(spark: SparkSession, root: str, below: int | None = None) -> int:
-    manifests = _manifests(spark, root)
-    if below is not None:
-        manifests = manifests.where(F.col("version") < below)
-    return manifests.agg(F.max("version")).first()[0]
+def _latest(spark: SparkSession, root: str) -> int | None:
+    return _manifests(spark, root).agg(F.max("version")).first()[0]
 
 
-def _manifest(spark: SparkSession, root: str, version: int | None) -> DataFrame:
-    wanted = _latest(spark, root) if version is None else version
-    return _manifests(spark, root).where(F.col("version") == wanted)
+def version_before(spark: SparkSession, root: str, version: int) -> int | None:
+    """The newest version below ``version``; None if there is none with posts."""
+    older = _manifests(spark, root).where(F.col("version") < version)
+    return older.agg(F.max("version")).first()[0]

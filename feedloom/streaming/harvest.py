@@ -13,7 +13,7 @@ from feedloom.operators.status import ERROR, HARVESTING, IDLE, log_status
 from feedloom.plans.harvest import harvest_run
 from feedloom.session import materialize, new_folder
 from feedloom.sources.listings import drop_sticky, listing_normalize, stamp_harvest_time
-from feedloom.sources.posts import merge_posts, read_posts, store_changed
+from feedloom.sources.posts import merge_posts, next_version, posts_before, store_changed
 
 # Fixed value.
 HARVEST_INTERVAL = "360 minutes"
@@ -38,8 +38,8 @@ def harvest_stream(
 ) -> StreamingQuery:
     """Upsert newly landed listing files into the post store at ``root``.
 
-    Micro-batch b becomes store version b + 1, so a batch that is replayed after
-    a failure replaces its own result. ``run_ts`` gives the harvest time of a
+    A micro-batch becomes the version after the newest, under its checkpoint's name and
+    number, so a batch that is replayed after a failure replaces its own result. ``run_ts`` gives the harvest time of a
     batch and must give a replayed batch the same time.
 
     With ``stop_rule`` each batch is a harvest whose listings are followed only
@@ -56,20 +56,21 @@ def harvest_stream(
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = batch_id + 1
+        writer = f"{checkpoint}#{batch_id}"
+        version = next_version(spark, root, writer)
         posts = listing_normalize(batch)
         if rules is not None:
             wanted = rules.select(F.col("community").alias("community_name"))
             posts = posts.join(wanted, "community_name", "left_semi")
         if stop_rule:
-            store = read_posts(spark, root, version - 1)
+            store = posts_before(spark, root, version)
             result = harvest_run(store, posts, run_ts(batch_id))
             changed = materialize(result.changed, new_folder(spark, "changed"))
-            store_changed(spark, store, changed, root, version)
+            store_changed(spark, store, changed, root, version, writer)
             return
         rows = place_rows(stamp_harvest_time(drop_sticky(posts), run_ts(batch_id)))
         rows = materialize(one_row_per_key(rows), new_folder(spark, "batch"))
-        merge_posts(spark, root, rows, version)
+        merge_posts(spark, root, rows, version, writer)
 
     def harvest(batch: DataFrame, batch_id: int) -> None:
         note(batch_id, HARVESTING)

@@ -48,6 +48,7 @@ def refresh_feeds(
     now: int,
     tz: str = "UTC",
     max_age: int = MAX_AGE_SECONDS,
+    scan_cap: int | None = None,
 ) -> None:
     """Build the stale feeds as of ``now`` and store them.
 
@@ -57,7 +58,7 @@ def refresh_feeds(
     stale = stale_rules(spark, root, rules, now, max_age)
     if stale.isEmpty():
         return
-    built = build_all_feeds(posts, stale, now, tz)
+    built = build_all_feeds(posts, stale, now, tz, scan_cap)
     (
         built.select(*FEED_ITEMS.fieldNames(), F.lit(now).cast("long").alias("snapshot_ts"))
         .write.mode("overwrite")

@@ -704,7 +704,7 @@ from feeds"""
     sql["build_feed"] = feeds + f"select {FEED_COLUMNS} from feeds where feed = 'news'"
     sql["build_all_feeds"] = feeds + f"select {FEED_COLUMNS} from feeds"
     sql["build_all_feeds_orders"] = (
-        _feeds(ORDERS_NOW, ORDER_RULES, "posts_ord", POSTS_ORD, cap=40)
+        _feeds(ORDERS_NOW, ORDER_RULES, "posts_ord", POSTS_ORD, cap=2**62)
         + """select feed, display_rank, id, community_name, score,
   cast(age_in_days as bigint) as age_in_days from feeds"""
     )

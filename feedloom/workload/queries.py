@@ -158,7 +158,7 @@ def harvest_run_pages(spark, sf):
 
 @query
 def retention_window(spark, sf):
-    return filters.retention_window(a.week_posts(spark, sf), a.NOW)
+    return filters.retention_window(a.posts_ev(spark, sf), a.NOW)
 
 
 @query
@@ -197,7 +197,7 @@ def zero_percentile_excluded(spark, sf):
 def image_feed_filter(spark, sf):
     rules = a.rules(spark).withColumnRenamed("media", "feed_media")
     members = a.posts_ev(spark, sf).join(
-        F.broadcast(rules.select("feed", "feed_media", F.col("community").alias("community_name"))),
+        rules.select("feed", "feed_media", F.col("community").alias("community_name")),
         "community_name",
     )
     kept = filters.image_feed_filter(media_jobs.media_links(members))
@@ -299,7 +299,9 @@ def domain_share_pages(spark, sf):
 
 
 def _all_feeds(spark, sf):
-    return feed_plans.build_all_feeds(a.week_posts(spark, sf), a.rules(spark), a.NOW)
+    return feed_plans.build_all_feeds(
+        a.week_posts(spark, sf), a.rules(spark), a.NOW, scan_cap=filters.SCAN_CAP
+    )
 
 
 @query
@@ -448,9 +450,10 @@ def feed_snapshot(spark, sf):
     events = a.posts_ev(spark, sf, since=a.NOW - 7_200 - a.WEEK)
     rules = a.rules(spark)
     # Two feeds two hours ago, one of them again half an hour ago, then all.
-    snapshots.refresh_feeds(spark, root, events, rules.where("feed <> 'all'"), a.NOW - 7_200)
-    snapshots.refresh_feeds(spark, root, events, rules.where("feed = 'news'"), a.NOW - 1_800)
-    snapshots.refresh_feeds(spark, root, events, rules, a.NOW)
+    for part, now in (("feed <> 'all'", 7_200), ("feed = 'news'", 1_800), ("true", 0)):
+        snapshots.refresh_feeds(
+            spark, root, events, rules.where(part), a.NOW - now, scan_cap=filters.SCAN_CAP
+        )
     current = snapshots.current_feeds(spark, root)
     return current.select("feed", "snapshot_ts", "display_rank", "id", "community_id", "score")
 
@@ -478,7 +481,7 @@ _FEED_COLUMNS = [
 
 @query
 def build_feed(spark, sf):
-    built = feed_plans.build_feed(a.week_posts(spark, sf), a.rules(spark), "news", a.NOW)
+    built = feed_plans.build_feed(a.week_posts(spark, sf), a.rules(spark), "news", a.NOW, scan_cap=filters.SCAN_CAP)
     return _media_columns(built.select(*_FEED_COLUMNS))
 
 
@@ -492,5 +495,5 @@ def build_all_feeds_orders(spark, sf):
     """Feeds over orders, in the middle of the years the table covers."""
     orders = a.posts_ord(spark, sf, since=a.ORDERS_NOW - a.WEEK)
     rules = a.rules(spark, a.ORDER_RULES)
-    built = feed_plans.build_all_feeds(orders, rules, a.ORDERS_NOW, scan_cap=SMALL_CAP)
+    built = feed_plans.build_all_feeds(orders, rules, a.ORDERS_NOW)
     return built.select("feed", "display_rank", "id", "community_name", "score", "age_in_days")

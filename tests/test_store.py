@@ -174,3 +174,20 @@ def test_a_failed_batch_shows_until_its_replay(spark, make_posts, tmp_path):
     run()
     assert (status().status_text, status().last_harvest) == ("00:10 ago", 100)
     assert list(by_id(read_posts(spark, root))) == ["1"]
+
+
+def test_default_sink_then_merge_keeps_all(spark, tmp_path, make_posts):
+    from feedloom.sources.posts import next_version
+
+    root = str(tmp_path / "store")
+    posts_sink(make_posts([{"id": "a"}, {"id": "b"}]), root)
+    batch = make_posts([{"id": "c"}]).withColumns({"seq": F.lit(0).cast("long"), "chunk": F.lit(1)})
+    with pytest.raises(ValueError):
+        merge_posts(spark, root, batch, 1)
+    assert next_version(spark, root, "w#0") == 2
+    for _ in range(2):  # a replay changes nothing
+        merge_posts(spark, root, batch, next_version(spark, root, "w#0"), "w#0")
+        assert {r.id for r in read_posts(spark, root).collect()} == {"a", "b", "c"}
+    assert next_version(spark, root, "other#0") == 3
+    with pytest.raises(ValueError):
+        read_posts(spark, root, 9)
