@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored
+from feedloom.llm.common import stored_alone
 from feedloom.llm.words import chunks, hash_words, mix, split_words, text_bytes
 
 WINDOW = 20
@@ -234,16 +234,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Earlier is a smaller doc_id, or the same and an earlier start. ``last`` is not in it.
     """
     repeated_ids = _repeated_ids(docs)
-    again = stored(_symbol_counts(docs, window), "repeat-symbols")
+    again = stored_alone(_symbol_counts(docs, window), "repeat-symbols")
     found = _stretches(docs, window, repeated_ids).join(again, "symbol", "left_semi")
-    found = stored(found, "repeat-stretches")
+    found = stored_alone(found, "repeat-stretches")
     place = F.struct("doc_id", "at")
     n_windows = (F.length("windows") / HASH_BYTES).cast("int")
     number = F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("i")
     value = F.expr(f"substring(windows, i * {HASH_BYTES} + 1, {HASH_BYTES})").alias("value")
     key = ["symbol", "windows"]
     # Of stretches that are equal throughout, all but the first are repeats as a whole.
-    firsts = stored(found.groupBy(*key).agg(F.min(place).alias("p")), "repeat-firsts")
+    firsts = stored_alone(found.groupBy(*key).agg(F.min(place).alias("p")), "repeat-firsts")
     whole = (
         found.join(firsts, key)
         .where(~place.eqNullSafe(F.col("p")))
@@ -251,8 +251,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     # Windows of different stretches under one symbol are compared one by one.
     several = firsts.groupBy("symbol").count().where("count > 1").select("symbol")
-    several = stored(several, "repeat-several")
-    single = stored(
+    several = stored_alone(several, "repeat-several")
+    single = stored_alone(
         firsts.join(several, "symbol", "left_semi")
         .select("symbol", "p", "windows", number)
         .select(
@@ -261,7 +261,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ),
         "repeat-windows",
     )
-    least = stored(
+    least = stored_alone(
         single.groupBy("symbol", "value").agg(F.min("p").alias("least"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").drop("n"),
         "repeat-least",
@@ -301,7 +301,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = repeats(docs, window).groupBy(F.col("doc_id").alias("of")).agg(
         F.collect_list(F.struct("print", "first", "last")).alias("spans")
     )
-    spans = stored(spans, "repeat-spans")
+    spans = stored_alone(spans, "repeat-spans")
     rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
