@@ -21,8 +21,6 @@ from feedloom.llm.common import stored_alone
 from feedloom.llm.words import chunks, hash_words, mix, split_words, text_bytes
 
 WINDOW = 20
-#: Bytes of a window's hash. With its symbol's name, 15 bytes tell windows apart.
-HASH_BYTES = 7
 #: A round replaces runs, then pairs. After two, a symbol is mostly three to five words.
 ROUNDS = 2
 _BASE = 0xD1342543DE82EF95
@@ -197,8 +195,22 @@ def _symbol_counts(docs: DataFrame, window: int) -> DataFrame:
     return rows.groupBy("symbol").agg(F.sum("n").alias("n")).where("n > 1").select("symbol")
 
 
+def _digests(name: np.ndarray, first: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch: of its symbol and all its windows in order."""
+    if not len(first):
+        return name
+    n = np.diff(np.r_[first, len(value)])
+    place = (np.arange(len(value)) - np.repeat(first, n)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(value + mix(place)), first) ^ mix(name))
+
+
+def _at(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of a batch's row and a place in its text."""
+    return mix((row.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64))
+
+
 def _stretches(docs: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
-    """(symbol, doc_id, print, at, windows): stretches of windows that are looked up under one symbol.
+    """(symbol, digest, doc_id, print, at, n): stretches of n windows that are looked up under one symbol.
 
     ``print`` tells rows of one doc_id apart, and is 0 where no doc_id is repeated.
     """
@@ -210,24 +222,65 @@ def _stretches(docs: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
                 start, name, first, value = _rows(words, text, begin, window)
                 of = text[start[first]]
                 at = start[first] - begin[of]
-                ends = (np.r_[first, len(start)] * HASH_BYTES).astype(np.int32)
-                hashes = value.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-                windows = [None, pa.py_buffer(ends), pa.py_buffer(hashes)]
+                n = np.diff(np.r_[first, len(start)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(name.view(np.int64)),
+                        pa.array(_digests(name, first, value).view(np.int64)),
                         batch.column("doc_id").take(pa.array(lo + of)),
                         pa.array(_text_print(words, begin)[of] if repeated_ids else np.zeros(len(of), np.int32)),
                         pa.array(at.astype(np.int32)),
-                        pa.Array.from_buffers(pa.binary(), len(of), windows),
+                        pa.array(n.astype(np.int32)),
                     ],
-                    ["symbol", "doc_id", "print", "at", "windows"],
+                    ["symbol", "digest", "doc_id", "print", "at", "n"],
                 )
 
-    shape = f"symbol long, doc_id {id_type}, print int, at int, windows binary"
+    shape = f"symbol long, digest long, doc_id {id_type}, print int, at int, n int"
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
+def _windows(docs: DataFrame, wanted: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
+    """(symbol, value, doc_id, print, at): all windows of the stretches ``wanted`` (doc_id, at, digest).
+
+    They are found again in the texts, so that no table carries the windows of all stretches.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    lists = wanted.groupBy(F.col("doc_id").alias("of")).agg(
+        F.collect_list(F.struct("at", "digest")).alias("wanted")
+    )
+    rows = docs.select("doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("wanted")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            wanted = flat.field("digest").to_numpy(zero_copy_only=False).view(np.uint64)
+            wanted = wanted + _at(row, flat.field("at").to_numpy(zero_copy_only=False))
+            for lo, hi, words, text, begin in _word_hashes(batch):
+                start, name, first, value = _rows(words, text, begin, window)
+                of = text[start[first]]
+                key = _digests(name, first, value) + _at(lo + of, start[first] - begin[of])
+                n = np.diff(np.r_[first, len(start)])
+                at = np.flatnonzero(np.repeat(np.isin(key, wanted[ends[lo] : ends[hi]]), n))
+                of = text[start[at]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(name, n)[at].view(np.int64)),
+                        pa.array(value[at].view(np.int64)),
+                        batch.column("doc_id").take(pa.array(lo + of)),
+                        pa.array(_text_print(words, begin)[of] if repeated_ids else np.zeros(len(of), np.int32)),
+                        pa.array((start[at] - begin[of]).astype(np.int32)),
+                    ],
+                    ["symbol", "value", "doc_id", "print", "at"],
+                )
+
+    shape = f"symbol long, value long, doc_id {id_type}, print int, at int"
+    return rows.mapInArrow(run, shape)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, print, first, last): words in windows that also start earlier.
 
@@ -238,51 +291,35 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = _stretches(docs, window, repeated_ids).join(again, "symbol", "left_semi")
     found = stored_alone(found, "repeat-stretches")
     place = F.struct("doc_id", "at")
-    n_windows = (F.length("windows") / HASH_BYTES).cast("int")
-    number = F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("i")
-    value = F.expr(f"substring(windows, i * {HASH_BYTES} + 1, {HASH_BYTES})").alias("value")
-    key = ["symbol", "windows"]
+    print_ = F.when(F.lit(repeated_ids), F.col("print")).alias("print")
     # Of stretches that are equal throughout, all but the first are repeats as a whole.
-    firsts = stored_alone(found.groupBy(*key).agg(F.min(place).alias("p")), "repeat-firsts")
-    whole = (
-        found.join(firsts, key)
-        .where(~place.eqNullSafe(F.col("p")))
-        .select("doc_id", F.when(F.lit(repeated_ids), F.col("print")).alias("print"), F.col("at").alias("first"), (F.col("at") + n_windows - 1 + window).alias("last"))
+    firsts = stored_alone(
+        found.groupBy("symbol", "digest").agg(F.min(place).alias("p")), "repeat-firsts"
     )
+    whole = stored_alone(
+        found.join(firsts, ["symbol", "digest"])
+        .where(~place.eqNullSafe(F.col("p")))
+        .select("doc_id", print_, F.col("at").alias("first"), (F.col("at") + F.col("n") - 1 + window).alias("last")),
+        "repeat-whole",
+    )
     # Windows of different stretches under one symbol are compared one by one.
     several = firsts.groupBy("symbol").count().where("count > 1").select("symbol")
-    several = stored_alone(several, "repeat-several")
-    single = stored_alone(
-        firsts.join(several, "symbol", "left_semi")
-        .select("symbol", "p", "windows", number)
-        .select(
-            "symbol", value,
-            F.struct(F.col("p.doc_id").alias("doc_id"), (F.col("p.at") + F.col("i")).alias("at")).alias("p"),
-        ),
-        "repeat-windows",
-    )
+    wanted = stored_alone(
+        firsts.join(several, "symbol", "left_semi").select("p.doc_id", "p.at", "digest"), "repeat-several"
+    )
+    single = stored_alone(_windows(docs, wanted, window, repeated_ids), "repeat-windows")
     least = stored_alone(
-        single.groupBy("symbol", "value").agg(F.min("p").alias("least"), F.count(F.lit(1)).alias("n"))
+        single.groupBy("symbol", "value").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").drop("n"),
         "repeat-least",
     )
-    later = single.join(least, ["symbol", "value"]).where(~F.col("p").eqNullSafe(F.col("least")))
-    one = later.select(
-        F.col("p.doc_id").alias("doc_id"), F.lit(None).cast("int").alias("print"),
-        F.col("p.at").alias("first"), (F.col("p.at") + window).alias("last"),
-        "symbol", "value",
+    one = stored_alone(
+        single.join(least, ["symbol", "value"])
+        .where(~place.eqNullSafe(F.col("least")))
+        .select("doc_id", print_, F.col("at").alias("first"), (F.col("at") + window).alias("last")),
+        "repeat-single",
     )
-    # which of the rows of that doc_id and place it is
-    prints = (
-        found.select("symbol", "doc_id", "print", "at", "windows", number)
-        .select("symbol", value, "doc_id", "print", (F.col("at") + F.col("i")).alias("first"))
-    ) if repeated_ids else None
-    if prints is not None:
-        one = one.drop("print").join(
-            prints.withColumnRenamed("doc_id", "id"),
-            ["symbol", "value", "first"],
-        ).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    return whole.unionByName(one.select("doc_id", "print", "first", "last"))
+    return whole.unionByName(one)
 
 
 def _repeated_ids(docs: DataFrame) -> bool:
