@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.timeops import DAY_SECONDS, stored_date
 from feedloom.operators.rules import SizedRules
 from feedloom.operators.topn import top_n_per_group
+from feedloom.schema import KEY
+from feedloom.session import materialize, new_folder
 
 # Fixed values.
 RETENTION_DAYS = 7
@@ -46,9 +48,14 @@ def feed_scan_cap(candidates: DataFrame, sized: SizedRules, cap: int) -> DataFra
 
     A histogram over stored seconds (at most one row per feed and second) finds
     the second in which the cap falls. Only rows from that second on are
-    shuffled to be numbered.
+    shuffled to be numbered, and of them only what numbers them: a harvest gives
+    all its rows one second, so they may be many. Those that stay are then picked
+    out of the candidates by key, which is unique within a feed.
     """
-    seconds = candidates.groupBy("feed", "time_stored").agg(F.count(F.lit(1)).alias("n"))
+    columns = candidates.columns
+    slim = candidates.select("feed", "time_stored", *KEY)
+    slim = materialize(slim, new_folder(candidates.sparkSession, "candidates"))
+    seconds = slim.groupBy("feed", "time_stored").agg(F.count(F.lit(1)).alias("n"))
     newest = Window.partitionBy("feed").orderBy(F.desc("time_stored"))
     cutoffs = (
         seconds.withColumn("n", F.sum("n").over(newest))
@@ -59,9 +66,11 @@ def feed_scan_cap(candidates: DataFrame, sized: SizedRules, cap: int) -> DataFra
             ).alias("_cutoff")
         )
     )
-    late = candidates.join(sized.hint(cutoffs), "feed").where("time_stored >= _cutoff")
+    late = slim.join(sized.hint(cutoffs), "feed").where("time_stored >= _cutoff")
     order = [F.desc("time_stored"), F.col("id"), F.col("community_id")]
-    return top_n_per_group(late, ["feed"], order, F.lit(cap), cap, "_rank").drop("_cutoff", "_rank")
+    newest_ones = top_n_per_group(late, ["feed"], order, F.lit(cap), cap, "_rank")
+    kept = newest_ones.select("feed", *KEY)
+    return candidates.join(kept, ["feed", *KEY], "left_semi").select(*columns)
 
 
 def image_feed_filter(posts: DataFrame) -> DataFrame:

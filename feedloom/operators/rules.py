@@ -18,8 +18,8 @@ MEDIA_TYPES = ("image", "text")
 FILTER_TYPES = ("original", "retweets")
 FEED_NAME_PATTERN = r"^[-_a-zA-Z0-9]+\z"
 
-# Above this many rules nothing derived from them is broadcast.
-MAX_BROADCAST_RULES = 200_000
+# Above this size of the rules, texts and all, nothing derived from them is broadcast.
+MAX_BROADCAST_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,15 @@ def size_rules(rules: DataFrame) -> SizedRules:
     Last by document, place of the feed in it and place of the community in the feed.
     """
     pair = F.struct("feed", "community")
-    n, distinct, max_daily = rules.agg(
-        F.count(F.lit(1)), F.count_distinct(pair), F.coalesce(F.max("max_daily"), F.lit(0))
+    texts = [c for c, kind in rules.dtypes if kind == "string"]
+    size = F.lit(16 * len(rules.columns) + 64)  # numbers, and what an operator adds
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    n, distinct, max_daily, in_bytes = rules.agg(
+        F.count(F.lit(1)),
+        F.count_distinct(pair),
+        F.coalesce(F.max("max_daily"), F.lit(0)),
+        F.coalesce(F.sum(size.cast("long")), F.lit(0)),
     ).first()
     if n != distinct:
         place = ("document", "feed_no", "community_no")
@@ -58,7 +65,7 @@ def size_rules(rules: DataFrame) -> SizedRules:
             .agg(F.max_by(F.struct(*others), position).alias("last"))
             .select("feed", "community", "last.*")
         )
-    return SizedRules(rules, distinct <= MAX_BROADCAST_RULES, max_daily)
+    return SizedRules(rules, in_bytes <= MAX_BROADCAST_BYTES, max_daily)
 
 
 def resolve_feed_rules(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from feedloom.operators.rules import SizedRules, size_rules
 from feedloom.session import materialize, new_folder
 
-# Scores are ranked in bands of 2**16, so neither the bands of a community nor
-# the scores of a band exceed 65,536 for 32-bit scores.
+# Scores are ranked in bands of 2**16: a window inside a band holds at most 65,536
+# scores, one over the bands of a community at most 65,536 bands for scores that
+# spread over 32 bits.
 BAND_BITS = 16
 
 
@@ -44,9 +45,8 @@ def community_thresholds(posts: DataFrame, sized: SizedRules) -> DataFrame:
     descending order; 0 for P ≥ 100 and for communities without posts. All
     rules are answered in one pass over the posts.
     """
-    if sized.small:
-        wanted = sized.rows.select(F.col("community").alias("community_name"))
-        posts = posts.join(sized.hint(wanted), "community_name", "left_semi")
+    wanted = sized.rows.select(F.col("community").alias("community_name")).distinct()
+    posts = posts.join(sized.hint(wanted), "community_name", "left_semi")
     return _thresholds(score_histogram(posts), sized)
 
 
@@ -68,8 +68,9 @@ def score_at_percentile(posts: DataFrame, percentiles: list[float]) -> DataFrame
 def _thresholds(hist: DataFrame, sized: SizedRules) -> DataFrame:
     """Answer every rule from a score histogram.
 
-    A running count over score bands finds each rule's band, then one over the
-    scores of that band finds the score.
+    A running count over score bands finds the band of each percentile asked of a
+    community, then one over the scores of those bands finds the score. Neither
+    depends on how many feeds ask.
     """
     hist = hist.withColumn("band", F.shiftright("score", BAND_BITS))
     down = Window.partitionBy("community").orderBy(F.desc("band"))
@@ -87,21 +88,24 @@ def _thresholds(hist: DataFrame, sized: SizedRules) -> DataFrame:
     rank = (F.col("percentile") * F.col("total") / F.lit(100.0)).cast("long")
     targets = (
         sized.rows.where("percentile < 100")
-        .select("feed", "community", "percentile")
+        .select("community", "percentile")
+        .distinct()
         .join(bands, "community")
         .withColumn("offset", F.least(rank, F.col("total") - 1))
         .withColumn("above", F.col("upto") - F.col("in_band"))
         .where("above <= offset and offset < upto")
-        .select("feed", "community", "band", "offset", "above")
+        .select("community", "percentile", "band", (F.col("offset") - F.col("above")).alias("place"))
+    )
+    inside = Window.partitionBy("community", "band").orderBy(F.desc("score"))
+    wanted = targets.select("community", "band").distinct()
+    reached = hist.join(sized.hint(wanted), ["community", "band"], "left_semi").withColumn(
+        "reached", F.sum("n").over(inside)
     )
-    inside = Window.partitionBy("feed", "community").orderBy(F.desc("score"))
     found = (
-        hist.join(sized.hint(targets), ["community", "band"])
-        .withColumn("reached", F.col("above") + F.sum("n").over(inside))
-        .where("reached > offset")
-        .groupBy("feed", "community")
-        .agg(F.max("score").alias("min_score"))
+        reached.join(sized.hint(targets), ["community", "band"])
+        .where("reached - n <= place and place < reached")
+        .select("community", "percentile", F.col("score").alias("min_score"))
     )
-    return sized.rows.join(sized.hint(found), ["feed", "community"], "left").withColumn(
+    return sized.rows.join(sized.hint(found), ["community", "percentile"], "left").withColumn(
         "min_score", F.coalesce("min_score", F.lit(0))
     )

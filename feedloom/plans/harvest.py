@@ -63,20 +63,20 @@ def harvest_stop_rule(stats: DataFrame, limits: StopLimits = StopLimits()) -> Da
     """The pages a harvest ingests: up to and with the first one that stops it.
 
     No page after ``max_pages + 1`` can be reached, so those are dropped first
-    and each community's window is a handful of rows.
+    and each community's window is a handful of rows. Nor can one after a missing
+    page: a community ends at its first gap, and one without page 1 has no pages.
     """
     reachable = stats.where(F.col("page_no") <= limits.max_pages + 1)
     flagged = reachable.withColumn("stop_reason", stop_reason(limits))
-    earlier = (
-        Window.partitionBy("community_name")
-        .orderBy("page_no")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    in_order = Window.partitionBy("community_name").orderBy("page_no")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     stopped = F.max(F.col("stop_reason") != CONTINUE).over(earlier)
     return (
-        flagged.withColumn("stopped", F.coalesce(stopped, F.lit(False)))
-        .where(~F.col("stopped"))
-        .drop("stopped")
+        flagged.withColumns(
+            {"stopped": F.coalesce(stopped, F.lit(False)), "nth": F.row_number().over(in_order)}
+        )
+        .where(~F.col("stopped") & (F.col("page_no") == F.col("nth")))
+        .drop("stopped", "nth")
     )
 
 
@@ -111,14 +111,15 @@ def harvest_run(
     community, and every round's result is a stored table.
 
     The store is read before the rounds, for the rows that share a key or a link
-    with the landed ones.
+    with the landed ones. A community ends at its first missing page; rows without
+    a page number, or with one below 1, are refused.
     """
     spark = store.sparkSession
     folder = new_folder(spark, "harvest")
     if rules is not None:
         harvested = rules.select(F.col("community").alias("community_name")).distinct()
         landed = landed.join(harvested, "community_name", "left_semi")
-    landed = landed.where(F.col("page_no").between(1, limits.max_pages + 1))
+    landed = landed.where(F.coalesce("page_no", F.lit(0)) <= limits.max_pages + 1)
     rows = materialize(
         stamp_harvest_time(landed, run_ts).withColumns(
             {"chunk": F.col("community_name"), "seq": F.col("pos").cast("long")}
@@ -129,6 +130,8 @@ def harvest_run(
     known = materialize(stored_matches(store, rows), f"{folder}/known")
     sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")
     sizes = materialize(sizes, f"{folder}/sizes")
+    if not sizes.where(F.coalesce("page_no", F.lit(0)) < 1).isEmpty():
+        raise ValueError("landed pages are numbered from 1")
 
     # Every round reads what all rounds before it stored as one table, so plans
     # do not grow with the rounds.

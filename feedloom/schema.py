@@ -61,6 +61,15 @@ LISTING = T.StructType(
     ]
 )
 
+# As read: with the text of a line that is no such row.
+CORRUPT = "_corrupt_record"
+READ_LISTING = T.StructType([*LISTING.fields, T.StructField(CORRUPT, T.StringType())])
+
+# What a post can't be stored without.
+REQUIRED_IN_LISTING = [
+    "id", "community_id", "community", "name", "permalink", "created_utc", "score", "title",
+]
+
 FEED_DOCUMENT = T.StructType(
     [
         T.StructField("document", T.StringType()),

@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.prefix import carry_in
-from feedloom.schema import LISTING, POST_COLUMNS
+from feedloom.schema import CORRUPT, POST_COLUMNS, READ_LISTING, REQUIRED_IN_LISTING
 from feedloom.session import materialize, new_folder
 
 PAGES_PER_CHUNK = 1_000
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON listing rows, with the schema given rather than inferred."""
-    return spark.read.schema(LISTING).json(path)
+    """Landed JSON listing rows, with the schema given rather than inferred.
+
+    A line that is no such row keeps its text in ``_corrupt_record``.
+    """
+    return spark.read.schema(READ_LISTING).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def stream_listings(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream of newly landed files."""
-    return spark.readStream.schema(LISTING).json(path)
+    reader = spark.readStream.schema(READ_LISTING)
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def _reject_reason(raw: DataFrame) -> Column:
+    """Why a listing row can't be a post; null if it can."""
+    reasons = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in REQUIRED_IN_LISTING]
+    if CORRUPT in raw.columns:
+        reasons.insert(0, F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")))
+    return F.coalesce(*reasons)
+
+
+def listing_rejects(raw: DataFrame) -> DataFrame:
+    """Listing rows that ``listing_normalize`` leaves out, with the ``reason``.
+
+    Lines that are no listing row, and rows without a value a post must have; of
+    several reasons the first, in the order of the columns of a listing.
+    """
+    return raw.withColumn("reason", _reject_reason(raw)).where(F.col("reason").isNotNull())
 
 
 def listing_normalize(raw: DataFrame) -> DataFrame:
     """Listing rows in the post schema; paging columns pass through.
 
-    ``time_stored`` starts as the creation time, until a harvest stamps it.
+    ``time_stored`` starts as the creation time, until a harvest stamps it. Rows
+    of ``listing_rejects`` are no posts, so no page counts them.
     """
-    posts = raw.withColumns(
+    posts = raw.where(_reject_reason(raw).isNull()).withColumns(
         {
             "community_name": F.lower("community"),
             "time_created": F.col("created_utc").cast("long"),

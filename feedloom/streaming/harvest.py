@@ -12,7 +12,12 @@ from feedloom.operators.ingest import one_row_per_key
 from feedloom.operators.status import ERROR, HARVESTING, IDLE, log_status
 from feedloom.plans.harvest import harvest_run
 from feedloom.session import materialize, new_folder
-from feedloom.sources.listings import drop_sticky, listing_normalize, stamp_harvest_time
+from feedloom.sources.listings import (
+    drop_sticky,
+    listing_normalize,
+    listing_rejects,
+    stamp_harvest_time,
+)
 from feedloom.sources.posts import merge_posts, next_version, posts_before, store_changed
 
 # Fixed value.
@@ -35,6 +40,7 @@ def harvest_stream(
     log: str | None = None,
     stop_rule: bool = False,
     once: bool = False,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Upsert newly landed listing files into the post store at ``root``.
 
@@ -46,7 +52,8 @@ def harvest_stream(
     as deep as they pay; otherwise all landed rows are ingested. ``rules`` limits
     it to the communities of feeds, whose status is then noted in ``log``; a
     batch that fails leaves them in error until its replay. ``once`` takes what
-    has landed and ends.
+    has landed and ends. Rows that can't be posts are left out, and stored in a
+    folder per batch under ``rejects`` if that is given.
     """
 
     def note(batch_id: int, status: str) -> None:
@@ -58,6 +65,8 @@ def harvest_stream(
         spark = batch.sparkSession
         writer = f"{checkpoint}#{batch_id}"
         version = next_version(spark, root, writer)
+        if rejects:
+            listing_rejects(batch).write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
         posts = listing_normalize(batch)
         if rules is not None:
             wanted = rules.select(F.col("community").alias("community_name"))

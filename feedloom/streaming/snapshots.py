@@ -71,6 +71,12 @@ def refresh_feeds(
 
 
 def current_feeds(spark: SparkSession, root: str) -> DataFrame:
-    """Items of every feed's newest snapshot; older snapshots are not read."""
+    """Items of every feed's newest snapshot.
+
+    The folders to read are named from the log, at most one time per feed, so
+    older snapshots are not read.
+    """
+    newest = newest_snapshots(spark, root)
+    times = [row[0] for row in newest.select("snapshot_ts").distinct().collect()]
     items = spark.read.schema(_ITEMS).parquet(f"{root}/items")
-    return items.join(newest_snapshots(spark, root), ["feed", "snapshot_ts"])
+    return items.where(F.col("snapshot_ts").isin(times)).join(newest, ["feed", "snapshot_ts"])

@@ -120,6 +120,20 @@ def raw_listing(spark: SparkSession, sf_dir: str, since: int | None = None) -> D
     )
 
 
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of landed files, a quarter of them broken in five ways."""
+    kind = F.col("event_id") % 20
+    rows = raw_listing(spark, sf_dir)
+    for column, kinds in (("id", (1,)), ("title", (2,)), ("community", (5,)), ("created_utc", (5,))):
+        rows = rows.withColumn(column, F.when(~kind.isin(*kinds), F.col(column)))
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "event_id"]))
+    no_number = F.regexp_replace(line, '"score":-?[0-9]+', '"score":"many"')
+    cut_off = F.expr("left(line, length(line) - 5)")
+    return rows.select("event_id", line.alias("line"), no_number.alias("no_number")).select(
+        F.when(kind == 3, F.col("no_number")).when(kind == 4, cut_off).otherwise(F.col("line")).alias("value")
+    )
+
+
 def posts_ev(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
     """Events as posts; ``since`` narrows the scan to what a caller will keep anyway."""
     return listing_normalize(raw_listing(spark, sf_dir, since))

@@ -438,13 +438,15 @@ def all_oracles() -> dict[str, str]:
         _with(LISTING_EV)
         + "select community_name, page_no, pos, name, is_new from listing_ev where not is_sticky"
     )
+    sql["listing_rejects"] = """select 't3_' || event_id as name, case event_id % 20
+  when 1 then 'no id' when 2 then 'no title' when 3 then 'malformed' when 4 then 'malformed'
+  when 5 then 'no community' else '' end as reason from events"""
     sql["page_cursor"] = (
         _with(LISTING_EV)
-        + """select p.community_name, p.page_no, coalesce((
-    select arg_max(l.name, l.page_no * 1000 + l.pos) from listing_ev l
-    where l.community_name = p.community_name and l.page_no <= p.page_no
-      and l.page_no >= p.page_no - 3 and not l.is_sticky), '') as cursor
-from (select distinct community_name, page_no from listing_ev) p"""
+        + """select community_name, page_no, coalesce(last_value(own ignore nulls) over (
+    partition by community_name order by page_no), '') as cursor
+from (select community_name, page_no, arg_max(name, pos) filter (where not is_sticky) as own
+  from listing_ev group by community_name, page_no)"""
     )
     sql["stamp_harvest_time"] = (
         _with(LISTING_EV)

@@ -60,6 +60,18 @@ def drop_sticky(spark, sf):
     return kept.select("community_name", "page_no", "pos", "name", "is_new")
 
 
+@query
+def listing_rejects(spark, sf):
+    """What becomes of every line: the reason it is refused for, or none."""
+    folder = new_folder(spark, "lines")
+    a.broken_lines(spark, sf).write.text(folder)
+    raw = listings.read_listings(spark, folder)
+    name = F.coalesce("name", F.regexp_extract("_corrupt_record", "t3_[0-9]+", 0))
+    refused = listings.listing_rejects(raw).select(name.alias("name"), "reason")
+    kept = listings.listing_normalize(raw).select("name", F.lit("").alias("reason"))
+    return refused.unionByName(kept)
+
+
 @query
 def page_cursor(spark, sf):
     return listings.page_cursor(a.listing_ev(spark, sf))

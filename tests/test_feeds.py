@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators.rules import size_rules
+from feedloom.operators.filters import feed_scan_cap
+from feedloom.operators.rules import feed_membership, size_rules
 from feedloom.plans.feeds import build_all_feeds, build_feed
 from feedloom.streaming.snapshots import current_feeds, newest_snapshots, refresh_feeds
 from feedloom.workload import adaptors as a
@@ -63,7 +64,7 @@ def test_feed_plan(spark):
 
 
 def test_many_rules_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("feedloom.operators.rules.MAX_BROADCAST_RULES", 2)
+    monkeypatch.setattr("feedloom.operators.rules.MAX_BROADCAST_BYTES", 2)
     sized = size_rules(a.rules(spark))
     assert not sized.small
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -77,6 +78,31 @@ def test_many_rules_are_not_broadcast(spark, monkeypatch):
     assert big == shown(build_all_feeds(a.week_posts(spark, SF), a.rules(spark), a.NOW))
 
 
+def test_scan_cap_shuffles_no_texts(spark):
+    """All rows share a stored second, as after a harvest: only slim rows are numbered."""
+    posts = a.posts_ev(spark, SF).withColumn("time_stored", F.lit(a.NOW).cast("long"))
+    sized = size_rules(a.rules(spark))
+    members = feed_membership(posts, sized.rows)
+    capped = feed_scan_cap(members, sized, 20)
+    numbered = plan_of(capped).split("Window ")[1:]
+    assert numbered and not any("title" in part or "permalink" in part for part in numbered)
+    rows = capped.select("feed", "id").collect()
+    want = {}
+    for r in members.select("feed", "id").collect():
+        want.setdefault(r.feed, []).append(r.id)
+    got = {f: sorted(r.id for r in rows if r.feed == f) for f in want}
+    assert got == {f: sorted(ids)[:20] for f, ids in want.items()}
+
+
+def test_only_newest_snapshots_are_read(spark, posts, rules, tmp_path):
+    for now in (NOW, NOW + 7_200):
+        refresh_feeds(spark, str(tmp_path), posts, rules, now)
+    plan = plan_of(current_feeds(spark, str(tmp_path)))
+    assert "PartitionFilters" in plan
+    filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert str(NOW + 7_200) in filters and f"{NOW}," not in filters and f"{NOW})" not in filters
+
+
 def test_snapshots_are_rebuilt_when_stale(spark, posts, rules, tmp_path):
     root = str(tmp_path)
 

@@ -183,6 +183,28 @@ def test_harvest_equals_one_writer(spark, make_posts, seed):
     }
 
 
+def test_a_community_ends_at_its_first_gap(spark, make_posts):
+    places = [("a", 1), ("a", 3), ("b", 2), ("c", 1), ("c", 2)]
+    posts = make_posts(
+        [{"id": f"{c}{k}-{i}", "community_name": c, "name": str(k)} for c, k in places for i in range(20)]
+    )
+    landed = posts.withColumns(
+        {"page_no": F.col("name").cast("long"), "pos": F.split("id", "-")[1].cast("long")}
+    )
+    result = harvest_run(make_posts([]), landed, 7)
+    taken = {(r.community_name, r.page_no) for r in result.labelled.collect()}
+    assert taken == {("a", 1), ("c", 1), ("c", 2)}
+    assert {(r.community_name, r.page_no) for r in result.pages.collect()} == taken
+
+
+def test_pages_are_numbered_from_one(spark, make_posts):
+    landed = make_posts([{"id": "1"}]).withColumns(
+        {"page_no": F.lit(0).cast("long"), "pos": F.lit(1).cast("long")}
+    )
+    with pytest.raises(ValueError, match="numbered from 1"):
+        harvest_run(make_posts([]), landed, 7)
+
+
 def test_only_communities_of_rules_are_harvested(spark, make_posts):
     posts = make_posts([{"id": str(i), "community_name": c} for i, c in enumerate("ab")])
     landed = posts.withColumns({"page_no": F.lit(1).cast("long"), "pos": F.lit(1).cast("long")})

@@ -81,11 +81,28 @@ def test_thresholds_with_and_without_broadcast(spark, make_posts, small):
 
 
 def test_of_repeated_rules_the_last_counts(spark):
-    rules = spark.createDataFrame(
-        [("a", "x", 10.0, 1, 1), ("a", "x", 20.0, 9, 2)], RULE + ", community_no long"
-    )
-    sized = size_rules(rules)
-    assert [(r.percentile, r.max_daily) for r in sized.rows.collect()] == [(20.0, 9)]
+    """By document, feed and place in the feed, in whatever order the rows come."""
+    rows = [
+        ("a", "x", 30.0, 3, "d1", 2, 2),
+        ("a", "x", 20.0, 9, "d2", 1, 2),
+        ("a", "x", 10.0, 1, "d2", 1, 1),
+        ("a", "y", 5.0, 4, "d1", 1, 1),
+    ]
+    places = RULE + ", document string, feed_no long, community_no long"
+    for given in (rows, rows[::-1]):
+        sized = size_rules(spark.createDataFrame(given, places))
+        got = {(r.community, r.percentile, r.max_daily) for r in sized.rows.collect()}
+        assert got == {("x", 20.0, 9), ("y", 5.0, 4)}
+    with pytest.raises(ValueError, match="repeated rules"):
+        size_rules(spark.createDataFrame([r[:4] for r in rows], RULE))
+
+
+def test_one_community_in_many_feeds(spark, make_posts):
+    posts = make_posts([{"id": str(i), "score": i} for i in range(100)])
+    rules = spark.createDataFrame([(f"f{i}", "funny", float(i % 5 * 20), 1) for i in range(500)], RULE)
+    found = community_thresholds(posts, size_rules(rules)).collect()
+    assert len(found) == 500
+    assert {(r.percentile, r.min_score) for r in found} == {(p, 99 - p) for p in (0, 20, 40, 60, 80)}
 
 
 def test_counts_include_silent_communities(spark, make_posts):
