@@ -128,6 +128,35 @@ def test_near_duplicates(make_docs):
     assert minhash_dedup.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_all_links_of_a_large_family(make_docs):
+    base = prose(60, 200).split()
+    rows = [(i, " ".join([*base[: 3 * i], f"own{i}", *base[3 * i + 1 :]])) for i in range(60)]
+    got = minhash_dedup.near_duplicates(make_docs(rows)).collect()
+    assert [r.n_links for r in got] == [59] * 60  # each pair is 0.95 alike
+
+
+def test_blocks_count_each_link_once(make_docs, monkeypatch):
+    rng = random.Random(12)
+    base = prose(61, 200).split()
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(200), i % 6):
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, prose(300 + i, 60)) for i in range(30)]
+    plan = minhash_dedup.Plan(threshold=0.85)
+
+    def links():
+        return sorted(map(tuple, minhash_dedup.near_duplicates(make_docs(rows), plan).collect()))
+
+    whole = links()
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 7)
+    assert links() == whole
+    monkeypatch.setattr(minhash_dedup, "SMALL_BUCKET", 10_000)  # all as lists of pairs
+    assert links() == whole
+
+
 def test_decontaminate(spark, make_docs):
     items = [prose(70 + i, 30) for i in range(6)] + ["short", "", None]
     items.append(items[0])
