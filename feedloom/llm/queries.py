@@ -15,6 +15,7 @@ from feedloom.llm import (
     language_id,
     minhash_dedup,
     mixing,
+    packing,
     pii,
     substring_dedup,
     url_rules,
@@ -145,11 +146,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_substring_dedup, op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id,
         op6_minhash_dedup, op7_pii, op8_url_filters, op9_chat_format,
-        op10_decontaminate,
+        op10_decontaminate, op13_best_fit_packing,
     ]
 
     def prepared(f: Callable) -> Callable:
