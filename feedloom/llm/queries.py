@@ -17,10 +17,13 @@ from feedloom.llm import (
     mixing,
     packing,
     pii,
+    source_audit,
+    spelling,
     substring_dedup,
     url_rules,
 )
 from feedloom.llm.common import small_batches, table
+from feedloom.llm.oracles import OP1_SQL, OP3_SQL, OP11_SQL, OP12_SQL
 
 #: The given url rules of the contract.
 URL_RULES = [
@@ -146,6 +149,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -154,7 +165,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_substring_dedup, op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id,
         op6_minhash_dedup, op7_pii, op8_url_filters, op9_chat_format,
-        op10_decontaminate, op13_best_fit_packing,
+        op10_decontaminate, op11_spelling_variants, op12_source_audit, op13_best_fit_packing,
     ]
 
     def prepared(f: Callable) -> Callable:
@@ -168,4 +179,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op3_embedding_dedup": OP3_SQL,
+        "op9_chat_format": OP9_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_source_audit": OP12_SQL,
+    }
