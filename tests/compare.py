@@ -39,7 +39,7 @@ def rows_of(columns: list[str], rows) -> Counter:
 
 
 # Spark and DuckDB names of the types results may have.
-TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
 def compare(spark, con, sf_dir: str, name: str) -> tuple[str, int]:
