@@ -21,6 +21,7 @@ Spark numbers the pieces of each length and looks their slots up.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Large pieces are longer than this share of a sequence, and dealt into so many groups.
 LARGE, GROUPS = 1 / 3, 128
 #: Words of which a worker remembers the ids; it forgets all of them beyond that.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
+#: Texts are encoded in chunks of so many bytes.
+TEXT_BYTES = 2_000_000
 
 # Bytes by what ends a word of the vocabulary's splitting rule: white space, and any
 # change between letters (or digits) and other signs of ASCII. An apostrophe and most
@@ -67,42 +70,68 @@ class Tokens:
     """Token ids of many texts: words are looked up, and encoded only when first seen.
 
     The vocabulary splits texts at white space and between letters and signs before it
-    merges anything, so a text's ids are those of its parts one after another. Texts that
-    hold a special token's string are encoded whole.
+    merges anything, so a text's ids are those of its parts one after another. Words of
+    letters up to U+00FF are merged many at a time: no rule but the merges applies to
+    them, and the last token of each is known by its end mark. Texts that hold a special
+    token's string are encoded whole.
     """
 
+    _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         special = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content.encode() for t in special]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.begin = [np.zeros(0, np.uint32)], [0]
+        self.ids, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many of them each text has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        n = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum())), n
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encoded`` for plain words."""
+        joined = self.merges.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)
+        ids = np.array(joined[0].ids, np.uint32)
+        end = np.flatnonzero(self.last[ids])
+        return ids, np.diff(end, prepend=-1)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """The number of each of the distinct ``words``."""
         if len(self.known) > REMEMBERED:
-            self.known, self.ids, self.begin = {}, [np.zeros(0, np.uint32)], [0]
+            self._forget()
         new = [w for w in words if w not in self.known]
-        for i, ids in enumerate(self._encoded(new)):
-            self.known[new[i]] = len(self.begin) - 1
-            self.ids.append(np.array(ids, np.uint32))
-            self.begin.append(self.begin[-1] + len(ids))
-        self.ids = [np.concatenate(self.ids)]
-        return np.array([self.known[w] for w in words], np.int64)
+        plain = [w for w in new if self._PLAIN(w)]
+        other = [w for w in new if not self._PLAIN(w)]
+        for encode, some in ((self._merged, plain), (self._encoded, other)):
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                ids, n = encode(part)
+                self.known.update(zip(part, range(len(self.n), len(self.n) + len(part)), strict=True))
+                self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 and where each begins), and where each text's begin."""
         raw = data.tobytes()
         if any(s in raw for s in self.special):
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            lists = self._encoded(texts)
-            n = np.array([len(x) for x in lists], np.int64)
-            return np.fromiter((i for x in lists for i in x), np.uint32), np.r_[0, np.cumsum(n)]
+            ids, n = self._encoded(texts)
+            return ids, np.r_[0, np.cumsum(n)]
         n_texts = len(offsets) - 1
         kind = _kinds(data)
         change = np.ones(len(data) + 1, bool)
@@ -123,15 +152,25 @@ class Tokens:
             len(starts), pa.py_buffer(place.astype(np.int32)), pa.py_buffer(joined)
         ).dictionary_encode()
         number = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        begin = np.array(self.begin, np.int64)
-        first, n = begin[number], (begin[1:] - begin[:-1])[number]
+        first, n = (np.cumsum(self.n) - self.n)[number], self.n[number]
         before = np.cumsum(n) - n
-        ids = self.ids[0][np.repeat(first - before, n) + np.arange(int(n.sum()))]
+        ids = self.ids[np.repeat(first - before, n) + np.arange(int(n.sum()))]
         text = np.searchsorted(offsets, starts, "right") - 1
         per_text = np.bincount(text, n, n_texts).astype(np.int64)
         return ids, np.r_[0, np.cumsum(per_text)]
 
 
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One for a worker, which so remembers words from task to task."""
+    if path not in _tokens:
+        _tokens.clear()
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -150,11 +189,11 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, path: str | None = None) -
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokens = Tokens(path or vocabulary_path())
+        tokens = tokens_of(path or vocabulary_path())
         seats = np.zeros(sequence + 1, np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in chunks(offsets, 4_000_000):
+            for lo, hi in chunks(offsets, TEXT_BYTES):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 ids, begin = tokens.of(data[offsets[lo] : offsets[hi]], own)
                 ids = np.insert(ids, begin[1:], END).astype("<u4")
