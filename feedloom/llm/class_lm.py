@@ -4,9 +4,12 @@ Words belong to classes that exchange clustering forms. A token's probability is
 of a move from the class before it to its own class, times that of the word in its
 class. All counts come from all training documents.
 
-The most frequent words are units of their own in the clustering; each other word
-belongs to the unit of its ending. So every word has a class, and the counts that the
-clustering works on have a size that doesn't depend on the corpus.
+Clustering has two steps. Exchange moves the few most frequent words and the endings of
+all others, one at a time, to the class that raises the likelihood most. Then whole sweeps
+of exchange, as Spark aggregations over all training documents, take every word that
+is looked up (up to ``LOOKED_UP``): how often each class comes before and after the word
+is counted, and all words move to the class under which their neighbours are likeliest.
+The more such words there are, the more classes. Rarer words keep their ending's class.
 """
 
 from __future__ import annotations
@@ -22,14 +25,20 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import stored
 from feedloom.llm.words import LOWER, chunks, counted, hash_words, mix, split_words, text_bytes
 
-#: Words that are units of their own, units of endings, and classes.
-OWN_UNITS, ENDING_UNITS, CLASSES = 512, 192, 32
+#: Words that are units of their own in the first step, and units of endings.
+OWN_UNITS, ENDING_UNITS = 512, 192
+#: Classes: one for so many looked-up words, but no fewer and no more than these.
+WORDS_PER_CLASS, LEAST_CLASSES, MOST_CLASSES = 2_000, 32, 128
+#: Sweeps over all looked-up words.
+SWEEPS = 2
 #: At most this many frequent words are looked up in memory; rarer ones are joined.
 LOOKED_UP = 200_000
 #: Share of a class move's probability that is the class's own frequency.
 BACK_OFF = 0.1
 _END = np.uint64(0x656E64)  # hash of the token that ends a text
 _TOKENS_AT_ONCE = 1_000_000
+#: Looked-up words whose classes are chosen together.
+WORDS_PER_BLOCK = 4_096
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,6 +97,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+@dataclass
+class Classes:
+    """The class of each token: looked-up words have their own, others that of their ending."""
+
+    words: np.ndarray  # sorted hashes of the looked-up words
+    of_word: np.ndarray
+    of_ending: np.ndarray
+
+    def find(self, word: np.ndarray) -> np.ndarray:
+        """The place of each word among the looked-up ones, or -1."""
+        if not len(self.words):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[at] == word, at, -1)
+
+    def of(self, place: np.ndarray, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        if len(self.words):
+            out = np.where(place >= 0, self.of_word[place], self.of_ending[ending])
+        else:
+            out = self.of_ending[ending]
+        return np.where(word == _END, 0, out)
+
+
 @dataclass
 class Units:
     """Which unit a token is in: 0 the end, then words of their own, then endings."""
@@ -130,7 +162,90 @@ def count_moves(docs: DataFrame, units: Units) -> np.ndarray:
     return table.reshape(size, size)
 
 
-def exchange(moves: np.ndarray, classes: int = CLASSES, sweeps: int = 8) -> np.ndarray:
+def _at_once(cells: list[np.ndarray]) -> pa.RecordBatch:
+    cell, n, _ = counted(np.concatenate(cells))
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n, pa.int64())], ["cell", "n"])
+
+
+def count_neighbours(docs: DataFrame, classes: Classes, n_classes: int) -> DataFrame:
+    """(cell, n): how often each class follows and precedes each looked-up word.
+
+    The cell is the word's place times twice the number of classes, plus the class that
+    follows, or the number of classes plus the one that precedes.
+    """
+    wide = 2 * n_classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, held = [], 0
+        for batch in batches:
+            for _, _, word, ending, _ in _tokens(batch):
+                place = classes.find(word)
+                c = classes.of(place, word, ending)
+                own = place * wide
+                after, before = place[:-1] >= 0, place >= 0
+                cells.append((own[:-1] + c[1:])[after])
+                cells.append((own + n_classes + np.r_[0, c[:-1]])[before])
+                held += len(word)
+                if held >= 2 * _TOKENS_AT_ONCE:
+                    yield _at_once(cells)
+                    cells, held = [], 0
+        if held:
+            yield _at_once(cells)
+
+    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def count_class_moves(docs: DataFrame, classes: Classes, n_classes: int) -> np.ndarray:
+    """How often each class follows each other in ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(n_classes * n_classes, np.int64)
+        for batch in batches:
+            for _, _, word, ending, _ in _tokens(batch):
+                c = classes.of(classes.find(word), word, ending)
+                table += np.bincount(np.r_[0, c[:-1]] * n_classes + c, minlength=n_classes * n_classes)
+        cell = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table[cell])], ["cell", "n"])
+
+    got = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.zeros(n_classes * n_classes, np.int64)
+    for r in got.collect():  # a row for each pair of classes at most
+        table[r["cell"]] = r["n"]
+    return table.reshape(n_classes, n_classes)
+
+
+def sweep(docs: DataFrame, classes: Classes, moves: np.ndarray) -> Classes:
+    """All looked-up words at once in the class that makes their neighbours' classes likeliest.
+
+    ``moves`` are the class moves under the classes so far. Words are dealt out in blocks,
+    and only each one's new class comes to the driver. Ties: the lowest class.
+    """
+    n_classes = len(moves)
+    wide = 2 * n_classes
+    smooth = moves + 0.1
+    # of neighbours after and before, given the class of the word between them
+    likely = np.concatenate(
+        [np.log(smooth / smooth.sum(1, keepdims=True)), np.log(smooth / smooth.sum(0, keepdims=True)).T], 1
+    )
+    likely[0] = -np.inf  # the end's class takes no word
+
+    def choose(rows: pa.Table) -> pa.Table:
+        cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+        place, row = np.unique(cell // wide, return_inverse=True)
+        counts = np.zeros((len(place), wide))
+        counts[row, cell % wide] = n
+        found = np.argmax(np.round(counts @ np.maximum(likely, -1e9).T, 6), 1)
+        return pa.table({"place": pa.array(place), "class": pa.array(found.astype(np.int16))})
+
+    counts = stored(count_neighbours(docs, classes, n_classes), "lm-neighbours")
+    block = F.floor(F.col("cell") / (wide * WORDS_PER_BLOCK)).alias("block")
+    rows = counts.groupBy(block).applyInArrow(choose, "place long, class short").toPandas()
+    of_word = classes.of_word.copy()
+    of_word[rows["place"].to_numpy()] = rows["class"].to_numpy()
+    return Classes(classes.words, of_word, classes.of_ending)
+
+
+def exchange(moves: np.ndarray, classes: int = LEAST_CLASSES, sweeps: int = 8) -> np.ndarray:
     """The class of each unit: units move to the class that raises the likelihood most.
 
     Unit 0, the end, is class 0 alone. Others start in classes by falling frequency and
@@ -179,12 +294,10 @@ def exchange(moves: np.ndarray, classes: int = CLASSES, sweeps: int = 8) -> np.n
 
 @dataclass
 class Model:
-    units: Units
-    cls: np.ndarray
+    classes: Classes
     move: np.ndarray  # log10 probability of a class after a class
     spread: np.ndarray  # log10 of tokens + words + 1 of each class
-    common: np.ndarray  # sorted hashes of words that are looked up, and their counts
-    counts: np.ndarray
+    counts: np.ndarray  # of the looked-up words
     vocabulary: DataFrame  # all other words: word, n
     n_tokens: int
     n_words: int
@@ -207,6 +320,13 @@ def _least_step(words: DataFrame, most: int) -> int:
     return least
 
 
+def likelihood(moves: np.ndarray) -> float:
+    """The part of the training log likelihood that classes decide."""
+    n = moves[moves > 0].astype(float)
+    ends = moves.sum(0)[moves.sum(0) > 0].astype(float), moves.sum(1)[moves.sum(1) > 0].astype(float)
+    return float((n * np.log(n)).sum() - sum((x * np.log(x)).sum() for x in ends))
+
+
 def train(docs: DataFrame) -> Model:
     """Count, cluster and count again; ``docs`` are the training documents."""
     words = stored(count_words(docs), "lm-words")
@@ -221,25 +341,33 @@ def train(docs: DataFrame) -> Model:
     own = hashes[hashes != _END][:OWN_UNITS]
     by_hash = np.argsort(own)
     units = Units(own[by_hash], 1 + by_hash)
-    moves = count_moves(docs, units)
-    cls = exchange(moves)
-    table = np.zeros((CLASSES, CLASSES))
-    np.add.at(table, (cls[:, None], cls[None, :]), moves)
+    n_classes = min(MOST_CLASSES, max(LEAST_CLASSES, len(hashes) // WORDS_PER_CLASS))
+    cls = exchange(count_moves(docs, units), n_classes)
+    order = np.argsort(hashes)
+    endings = common["ending"].to_numpy(np.int64)
+    start = cls[units.of(hashes, endings)]
+    classes = Classes(hashes[order], start[order], cls[1 + OWN_UNITS :])
+    table = count_class_moves(docs, classes, n_classes)
+    for _ in range(SWEEPS if len(hashes) else 0):
+        moved = sweep(docs, classes, table)
+        after_it = count_class_moves(docs, moved, n_classes)
+        if likelihood(after_it) <= likelihood(table):
+            break
+        classes, table = moved, after_it
+    table = table.astype(float)
     total = table.sum(0)
-    share = (total + 1) / (total.sum() + CLASSES)
+    share = (total + 1) / (total.sum() + n_classes)
     after = (table + share[None, :]) / (table.sum(1, keepdims=True) + 1)
     move = np.log10((1 - BACK_OFF) * after + BACK_OFF * share[None, :])
-    # distinct words of each class: those of their own one by one, the rest by ending
-    rest = words.where(~F.col("word").isin([int(w) for w in [*own.view(np.int64), _END]]))
-    n_of = np.zeros(units.size, np.int64)
-    n_of[0], n_of[1 : 1 + len(own)] = 1, 1
-    for r in rest.groupBy("ending").count().collect():
-        n_of[1 + OWN_UNITS + r.ending] = r["count"]
-    in_class = np.bincount(cls, n_of, CLASSES)
-    order = np.argsort(hashes)
+    # distinct words of each class: looked-up ones one by one, the rest by ending
+    rest = words.where(~frequent & (F.col("word") != int(_END)))
+    in_class = np.bincount(classes.of_word[classes.words != _END], minlength=n_classes)
+    in_class[0] += 1
+    for r in rest.groupBy("ending").count().collect():  # a row for each ending
+        in_class[classes.of_ending[r.ending]] += r["count"]
     return Model(
-        units, cls, move, np.log10(total + in_class + 1),
-        hashes[order], common["n"].to_numpy(np.int64)[order],
+        classes, move, np.log10(total + in_class + 1),
+        common["n"].to_numpy(np.int64)[order],
         words.where(~frequent).select("word", "n"), int(n_tokens), int(n_words),
     )
 
@@ -253,8 +381,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     give repeated rows. A word that was never counted has its ending's class and the
     probability of a word counted zero times; with no training documents at all, all are.
     """
-    m, n_classes = model, CLASSES
-    parts = (m.units, m.cls, m.move, m.spread, m.common, m.counts)
+    m, n_classes = model, len(model.move)
+    parts = (m.classes, m.move, m.spread, m.counts)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shape = (
         f"doc_id {id_type}, text_hash long, n_tokens long, n_known long, logs double, "
@@ -262,25 +390,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, cls, move, spread, common, counts = parts
+        classes, move, spread, counts = parts
         logs = np.log10(counts + 1.0)
         for batch in batches:
             for lo, hi, word, ending, text in _tokens(batch):
                 n = hi - lo
-                c = cls[units.of(word, ending)]
+                place = classes.find(word)
+                c = classes.of(place, word, ending)
                 before = np.r_[0, c[:-1]]
                 gain = move.ravel()[before * n_classes + c] - spread[c]
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, word), len(common) - 1)
-                    known = common[at] == word
-                    log = np.where(known, logs[at], 0.0)
-                else:
-                    known, log = np.zeros(len(word), bool), np.zeros(len(word))
+                known = place >= 0
+                log = np.where(known, logs[place], 0.0) if len(logs) else np.zeros(len(word))
                 rare, in_text = word[~known], text[~known]
-                place = np.arange(len(word)).astype(np.uint64)
+                seat = np.arange(len(word)).astype(np.uint64)
                 print_ = np.add.reduceat(
-                    mix(word ^ mix(place - np.repeat(place[np.searchsorted(text, np.arange(n))],
-                                                     np.bincount(text, minlength=n)))),
+                    mix(word ^ mix(seat - np.repeat(seat[np.searchsorted(text, np.arange(n))],
+                                                    np.bincount(text, minlength=n)))),
                     np.searchsorted(text, np.arange(n)),
                 )
                 ends = np.searchsorted(in_text, np.arange(n + 1)).astype(np.int32)

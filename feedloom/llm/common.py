@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.session import materialize, new_folder
@@ -24,20 +21,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there."""
-    return materialize(df, new_folder(df.sparkSession, label))
-
-
-def stored_alone(df: DataFrame, label: str) -> DataFrame:
-    """``stored``, and let Spark's cleaner drop the shuffle files that led to it.
-
-    Spark drops a finished job's shuffle files when the driver's garbage collector has
-    found the job unused, which else may be long after large shuffles have filled disks.
-    """
-    out = stored(df, label)
-    gc.collect()
-    for _ in range(2):  # the first finds what the second lets go
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-    return out
+    return materialize(df, new_folder(df.sparkSession, label), compression=compression)

@@ -21,7 +21,8 @@ from feedloom.llm.components import components
 THRESHOLD = 0.93
 #: k-means is fitted on a sample of at most about this many rows or bytes.
 FIT_ROWS, FIT_BYTES = 20_000, 32_000_000
-CELL_ROWS, MAX_CELLS = 4_000, 1_024
+#: A cell for so many vectors of the largest label, up to 16 million; beyond that cells grow.
+CELL_ROWS, MAX_CELLS = 4_000, 4_096
 #: Rows of one side of a blocked product.
 BLOCK_ROWS = 1_500
 
@@ -40,7 +41,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 11) ->
     k = min(k, len(x))
     centers = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        cell = (x @ centers.T).argmax(1)
+        cell = np.concatenate([(x[at : at + 2_000] @ centers.T).argmax(1) for at in range(0, len(x), 2_000)])
         total = np.zeros_like(centers)
         np.add.at(total, cell, x)
         norm = np.sqrt((total * total).sum(1))
@@ -70,7 +71,7 @@ def fit_centroids(vectors: DataFrame) -> Centroids:
     rows = min(FIT_ROWS, max(1, FIT_BYTES // (4 * widest)))
     share = min(1.0, rows / n)
     chosen = F.pmod(F.xxhash64("rep", "label"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
-    sample = vectors.where(chosen).select("rep", "dim", "embedding").limit(2 * rows).toPandas()
+    sample = vectors.where(chosen).select("rep", "dim", "embedding").toPandas()
     out = {}
     for dim, part in sample.sort_values("rep").groupby("dim"):
         x = unit(np.stack(part["embedding"].to_numpy()))
@@ -97,7 +98,7 @@ def _cells(vectors: DataFrame, centroids: Centroids, threshold: float) -> DataFr
                     x = unit(flat[begin[own][:, None] + np.arange(dim)])
                     likeness = x @ centers.T
                     near = likeness.argmax(1)
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * (centers @ centers.T)))[near]
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * (centers[near] @ centers.T)))
                     gap = likeness[np.arange(len(own)), near][:, None] - likeness
                     visits = gap <= apart * reach + 1e-9
                     visits &= np.arange(len(centers))[None, :] < near[:, None]

@@ -22,7 +22,8 @@ UNKNOWN = "und"
 DIMENSIONS = 4096
 #: The classifier is fitted on at most this many labelled rows of a language.
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+#: And on so many rows in all; a language can't have less than a hundred of them.
+FIT_ROWS, MAX_LANGUAGES = 24_000, 240
 #: Families of closely related languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -153,24 +154,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _fit_rows(known: DataFrame, most: int) -> DataFrame:
+    """doc_id, lang, text and h (a hash of both) of at most ``most`` rows of each language.
+
+    Those of the least hashes; rows with the same doc_id and text count once. The least are
+    found in parts first, so a language with most rows is no single task.
+    """
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    whole = Window.partitionBy("lang").orderBy("h", "doc_id")
+    few = hashed.distinct().withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
+    few = few.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= most).drop("n")
+    rows = known.withColumn("h", F.xxhash64("doc_id", "text")).join(few, ["doc_id", "lang", "h"], "left_semi")
+    return rows.groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text"))
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on whole texts of at most ``per_language`` labelled rows of each language.
 
-    Which rows is settled by a hash of doc_id. Rows without lang, text or doc_id, and
-    those held out, aren't used. None if no row is left.
+    With many languages it is fewer of each, ``FIT_ROWS`` in all. Which rows is settled by a
+    hash of doc_id and text, so reruns agree. Rows without lang, text or doc_id, and
+    those held out, aren't used. None if no row is left. More than ``MAX_LANGUAGES``
+    languages are refused.
     """
     known = docs.where(
         "lang is not null and text is not null and doc_id is not null"
-    ).where(~held_out(F.col("doc_id")))
-    spread = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        known.select("doc_id", "lang")
-        .withColumn("n", F.row_number().over(spread))
-        .where(F.col("n") <= per_language)
-        .select("doc_id")
-        .distinct()
-    )
-    rows = known.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+    ).where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    n_languages = known.select("lang").distinct().count()
+    if n_languages > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = _fit_rows(known, min(per_language, FIT_ROWS // max(n_languages, 1)))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +192,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 at = [np.flatnonzero(c) for c in counts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo),
+                        batch.column("h").slice(lo, hi - lo),
                         batch.column("lang").slice(lo, hi - lo),
                         pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()),
                         pa.array(
@@ -187,18 +200,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                             pa.binary(),
                         ),
                     ],
-                    ["doc_id", "lang", "at", "n"],
+                    ["h", "lang", "at", "n"],
                 )
 
-    most = per_language * MAX_LANGUAGES
-    got = (
-        rows.mapInArrow(sparse, "doc_id long, lang string, at binary, n binary")
-        .limit(most)
-        .collect()
-    )
+    got = rows.mapInArrow(sparse, "h long, lang string, at binary, n binary").collect()  # FIT_ROWS at most
     if not got:
         return None
-    got.sort(key=lambda r: (r.lang, r.doc_id, bytes(r.at), bytes(r.n)))
+    got.sort(key=lambda r: (r.lang, r.h, bytes(r.at), bytes(r.n)))
     counts = np.zeros((len(got), DIMENSIONS), np.float32)
     for row, r in zip(counts, got, strict=True):
         row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.uint32)

@@ -21,7 +21,7 @@ from feedloom.llm.words import WORD, mix
 from feedloom.operators.prefix import carry_in
 
 #: One row per source comes to the driver; more sources than this are refused.
-MAX_SOURCES = 100_000
+MAX_SOURCES = 20_000
 CHUNK_DOCS = 10_000
 SLOTS_PER_TASK = 1_000_000
 
@@ -98,57 +98,59 @@ class Mixture:
     slots: DataFrame
     plan: Mix
 
-    def pieces(self) -> DataFrame:
-        """A row for each block that a document of at least one word has words in."""
-        b, start, end = self.plan.block_words, F.col("start"), F.col("start") + F.col("size")
-        block = F.col("block")
-        rows = self.docs.where("size > 0").select(
-            "*", F.explode(F.sequence(F.floor(start / b), F.floor((end - 1) / b))).alias("block")
-        )
-        first = F.greatest(start, block * b)
-        return rows.withColumns(
-            {"first": first - start, "n_words": F.least(end, (block + 1) * b) - first}
-        )
-
-    def taken(self) -> DataFrame:
-        """doc_id, source, size, taken and the source's size and target, a row per document."""
-        times = self.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-        key = ["source_no", "start", "doc_id", "size"]
-        used = (
-            self.pieces()
-            .select(*key, "block", "n_words")
-            .join(times, ["source_no", "block"], "left")
-            .groupBy(*key)
-            .agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
-        )
-        none = self.docs.where("size = 0").select(*key, F.lit(0).cast("bigint").alias("taken"))
-        return used.unionByName(none).join(self.sources, "source_no").drop("start")
+    def written(self, docs: DataFrame) -> DataFrame:
+        """The mixture itself, stored: shard, slot, source_no, block, its text and its members.
 
-    def blocks(self, texts: DataFrame) -> DataFrame:
-        """The mixture itself: shard, slot, source_no, block and its text of joined words.
-
-        ``texts`` are the mixed documents (doc_id unique, text).
+        ``docs`` are the mixed documents. A member is what a document has in the block:
+        its place in the source (``start``), and ``n_words``. A block's text is its
+        members' words joined by spaces. Texts that are equal under one doc_id are
+        fetched once.
         """
-        words = F.regexp_extract_all("text", F.lit(WORD), 0)
-        parts = (
-            self.pieces()
-            .join(texts.select("doc_id", words.alias("words")), "doc_id")
-            .select(
-                "source_no",
-                "block",
-                F.struct(
-                    "start",
-                    F.slice("words", F.col("first").cast("int") + 1, F.col("n_words").cast("int"))
-                    .alias("words"),
-                ).alias("part"),
-            )
+        b = self.plan.block_words
+        texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null")
+        if not self.docs.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+            texts = texts.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+        placed = self.docs.where("size > 0").select("source_no", "start", "size", "doc_id", "h").alias("p")
+        same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.h") == F.col("t.h"))
+        words = placed.join(texts.alias("t"), same).select(
+            "source_no", "start", "size", F.regexp_extract_all("t.text", F.lit(WORD), 0).alias("words")
         )
-        whole = parts.groupBy("source_no", "block").agg(
-            F.array_join(
-                F.flatten(F.sort_array(F.collect_list("part"))["words"]), " "
-            ).alias("text")
+        # the part of the text in each block that it has words in
+        block = F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block")
+        first = F.greatest(F.col("start"), F.col("block") * b)
+        n_words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - first
+        at = (first - F.col("start") + 1).cast("int")
+        parts = words.select("source_no", "start", "size", "words", block).select(
+            "source_no", "block",
+            F.struct(
+                "start", n_words.alias("n_words"),
+                F.array_join(F.slice("words", at, n_words.cast("int")), " ").alias("text"),
+            ).alias("part"),
+        )
+        # a member has a word at least, so a block has at most as many members as words
+        whole = parts.groupBy("source_no", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+        mixed = self.slots.join(whole, ["source_no", "block"]).select(
+            "shard", "slot", "source_no", "block",
+            F.array_join(F.col("parts")["text"], " ").alias("text"),
+            F.transform("parts", lambda x: x.dropFields("text")).alias("members"),
+        )
+        return stored(mixed, "mix-blocks", compression="zstd")
+
+    def taken(self, written: DataFrame) -> DataFrame:
+        """doc_id, source, size, taken and the source's size and target, a row per document.
+
+        ``taken`` is counted in the written mixture.
+        """
+        used = (
+            written.select("source_no", F.explode("members").alias("m"))
+            .groupBy("source_no", F.col("m.start").alias("start"))
+            .agg(F.sum("m.n_words").alias("taken"))
         )
-        return self.slots.join(whole, ["source_no", "block"])
+        # no two documents with words begin at one place of a source
+        some = self.docs.where("size > 0").join(used, ["source_no", "start"], "left")
+        none = self.docs.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
+        every = some.withColumn("taken", F.coalesce("taken", F.lit(0))).unionByName(none)
+        return every.join(self.sources, "source_no").drop("start", "h")
 
 
 def mixture(
@@ -165,7 +167,8 @@ def mixture(
     plan = plan or Mix()
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    hashed = F.xxhash64("text").alias("h")
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), hashed), "mix-sizes")
     per_source = sized.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")
     )
@@ -194,13 +197,13 @@ def mixture(
     numbered = sized.join(
         sources.select("source_no", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))
     ).select(
-        "source_no", "doc_id", "size",
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"),
+        "source_no", "doc_id", "size", "h",
+        F.pmod(F.xxhash64("doc_id", "h"), F.lit(n_chunks)).alias("chunk"),
     )
     before = carry_in(numbered, ["source_no"], "chunk", F.sum("size"), F.sum, "before")
     inside = (
         F.sum("size").over(
-            _window("source_no", "chunk").orderBy("doc_id", "size").rowsBetween(_ALL, 0)
+            _window("source_no", "chunk").orderBy("doc_id", "size", "h").rowsBetween(_ALL, 0)
         )
         - F.col("size")
     )

@@ -43,7 +43,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mixture(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixing.mixture(docs)
+    return mix.taken(mix.written(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

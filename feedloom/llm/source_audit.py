@@ -44,7 +44,7 @@ class Sizes:
     cells: int = 50_000  # counts of a tile, about
     strips: int = 64  # largest squares walked together
     leaves: int = 16_384  # leaves worked out at once
-    counted_bytes: int = 32_000_000  # text counted together before Spark adds the counts up
+    counted_bytes: int = 16_000_000  # text counted together before Spark adds the counts up
 
 
 _LETTER = np.ones(256, bool)

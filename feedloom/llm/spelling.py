@@ -295,7 +295,9 @@ def near_words(words: DataFrame) -> DataFrame:
         F.ceil(F.sum(F.least("hi", "l") - F.col("lo") + 1) / TASK_POINTS).cast("int").alias("tasks")
     )
     dealt = rows.join(of_class, "l").withColumn("task", F.pmod(F.xxhash64("state"), "tasks"))
-    parts = dealt.select("l", "task", "word", "n", "lo", "hi", "state").groupBy("l", "task").applyInArrow(
+    # dealt out by task: a shuffle by l for the join would do for Spark
+    tasks = dealt.select("l", "task", "word", "n", "lo", "hi", "state").repartition("l", "task")
+    parts = tasks.groupBy("l", "task").applyInArrow(
         _pairs, "word string, n_near long, near string, near_n long"
     )
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")

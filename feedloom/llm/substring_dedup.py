@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored_alone
+from feedloom.llm.common import stored
 from feedloom.llm.words import chunks, hash_words, mix, split_words, text_bytes
 
 WINDOW = 20
@@ -287,16 +287,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Earlier is a smaller doc_id, or the same and an earlier start. ``last`` is not in it.
     """
     repeated_ids = _repeated_ids(docs)
-    again = stored_alone(_symbol_counts(docs, window), "repeat-symbols")
+    again = stored(_symbol_counts(docs, window), "repeat-symbols")
     found = _stretches(docs, window, repeated_ids).join(again, "symbol", "left_semi")
-    found = stored_alone(found, "repeat-stretches")
+    found = stored(found, "repeat-stretches")
     place = F.struct("doc_id", "at")
     print_ = F.when(F.lit(repeated_ids), F.col("print")).alias("print")
     # Of stretches that are equal throughout, all but the first are repeats as a whole.
-    firsts = stored_alone(
+    firsts = stored(
         found.groupBy("symbol", "digest").agg(F.min(place).alias("p")), "repeat-firsts"
     )
-    whole = stored_alone(
+    whole = stored(
         found.join(firsts, ["symbol", "digest"])
         .where(~place.eqNullSafe(F.col("p")))
         .select("doc_id", print_, F.col("at").alias("first"), (F.col("at") + F.col("n") - 1 + window).alias("last")),
@@ -304,16 +304,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     # Windows of different stretches under one symbol are compared one by one.
     several = firsts.groupBy("symbol").count().where("count > 1").select("symbol")
-    wanted = stored_alone(
+    wanted = stored(
         firsts.join(several, "symbol", "left_semi").select("p.doc_id", "p.at", "digest"), "repeat-several"
     )
-    single = stored_alone(_windows(docs, wanted, window, repeated_ids), "repeat-windows")
-    least = stored_alone(
+    single = stored(_windows(docs, wanted, window, repeated_ids), "repeat-windows")
+    least = stored(
         single.groupBy("symbol", "value").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").drop("n"),
         "repeat-least",
     )
-    one = stored_alone(
+    one = stored(
         single.join(least, ["symbol", "value"])
         .where(~place.eqNullSafe(F.col("least")))
         .select("doc_id", print_, F.col("at").alias("first"), (F.col("at") + window).alias("last")),
@@ -338,7 +338,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = repeats(docs, window).groupBy(F.col("doc_id").alias("of")).agg(
         F.collect_list(F.struct("print", "first", "last")).alias("spans")
     )
-    spans = stored_alone(spans, "repeat-spans")
+    spans = stored(spans, "repeat-spans")
     rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import class_lm, decontaminate, language_id, minhash_dedup, mixing, pii, substring_dedup
 
@@ -56,8 +58,14 @@ def test_mixing(make_docs):
     rows = [(i, prose(i, 40 + i % 50), None, f"s{i % 7}" if i % 9 else None) for i in range(300)]
     rows += [(400, None, None, "s1"), (401, "", None, "empty"), (402, "tiny one", None, "tiny"), (0, "a b", None, "s0")]
     docs = make_docs(rows)
-    got = mixing.mixture(docs).taken().collect()
-    again = mixing.mixture(docs.repartition(5)).taken().collect()
+    rows += [(None, "null one two"), (None, "null one two"), (5, rows[5][1], None, rows[5][3]), (5, rows[5][1], None, "s0")]
+    docs = make_docs(rows)
+    mix = mixing.mixture(docs)
+    written = mix.written(docs)
+    got = mix.taken(written).collect()
+    other = docs.repartition(5)
+    again = mixing.mixture(other)
+    again = again.taken(again.written(other)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert len(got) == len(rows)
     assert all(0 <= r.taken <= 3 * r["size"] for r in got)
@@ -66,9 +74,19 @@ def test_mixing(make_docs):
         taken[r.source] += r.taken
     for r in got:
         assert abs(taken[r.source] - r.target) <= 64
-    mixed = mixing.mixture(docs.where("doc_id < 300 and doc_id > 0"))
-    blocks = mixed.blocks(docs.where("doc_id < 300 and doc_id > 0")).collect()
-    assert sum(len(b.text.split()) for b in blocks) == sum(r.taken for r in mixed.taken().collect())
+    # the written blocks hold the words that are counted as taken, whole and in order
+    blocks = written.collect()
+    streams = {}
+    for r in sorted(mix.docs.collect(), key=lambda r: (r.source_no, r.start, r["size"])):
+        text = next(t for i, t, *_ in rows if i == r.doc_id and len(words_of(t)) == r["size"])
+        streams.setdefault(r.source_no, []).extend(words_of(text))
+    for b in blocks:
+        want = streams[b.source_no][64 * b.block : 64 * b.block + 64]
+        assert b.text.split() == want and sum(m.n_words for m in b.members) == len(want)
+    assert sum(len(b.text.split()) for b in blocks) == sum(r.taken for r in got)
+    assert len({(b.source_no, b.slot) for b in blocks}) == len(blocks) == mix.slots.count()
+    empty = mixing.mixture(docs.limit(0))
+    assert empty.taken(empty.written(docs.limit(0))).isEmpty()
 
 
 def test_targets_stop_and_reshare():
@@ -90,6 +108,12 @@ def test_language_id(make_docs):
     assert all(got[i][0] == lang for i, _, lang in rows)
     assert got[900] == got[901] == got[902] == ("und", 0.0)
     assert got[903][0] == "en" and all(0 <= s <= 1 for _, s in got.values())
+    for kind in ("int", "string"):  # doc_ids of other types, and many rows of one doc_id
+        typed = docs.withColumn("doc_id", docs["doc_id"].cast(kind))
+        again = language_id.identify(typed.drop("lang"), language_id.train(typed))
+        assert [r.lang_pred for r in again.where("doc_id = 7").collect()] == [rows[7][2]]
+    one_id = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    assert len(language_id.train(one_id, per_language=30).families.names) == 2
     kept = language_id.identify(docs, language_id.train(docs), keep=0.1)
     assert kept.columns == docs.columns and kept.where("doc_id between 900 and 902").isEmpty()
     assert language_id.train(docs.limit(0)) is None
@@ -160,22 +184,68 @@ def test_blocks_count_each_link_once(make_docs, monkeypatch):
 def test_decontaminate(spark, make_docs):
     items = [prose(70 + i, 30) for i in range(6)] + ["short", "", None]
     items.append(items[0])
+    items += ["Zq", "A b", "twenty letters only x", "eightish"]  # 10 to 13
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     edited = items[2][:40] + "zz" + items[2][42:]
     rows = [
         (1, prose(90, 50) + " " + items[1] + " " + prose(91, 50)), (2, prose(92, 200)), (3, None), (4, ""),
         (5, f"{prose(93, 20)}. {edited.upper()}! {prose(94, 20)}"), (6, items[0].replace(" ", "\n")),
         (7, prose(95, 9000) + " " + items[3]), (8, items[4][: len(items[4]) // 2]), (2, prose(92, 200)),
+        (20, "zqs ab shorts"), (21, "x-ZQ."), (22, "a, B"), (23, "tweny lettrs only x"), (24, "twxnty lxttxrs only x"),
+        (25, "pre-EIGHTISH"), (26, "eightsh"), (None, "the short zq"), (None, "the short zq"), (27, "short"),
     ]
     docs = make_docs(rows)
     got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert set(got) == {(1, 1), (5, 2), (6, 0), (6, 9), (7, 3)}
+    words = {(21, 10), (22, 11), (23, 12), (25, 13), (None, 6), (None, 10), (27, 6)}
+    assert set(got) == {(1, 1), (5, 2), (6, 0), (6, 9), (7, 3)} | words
+    assert got[21, 10] == (0, 2, 4) and got[22, 11] == (0, 0, 4) and got[23, 12][0] == 2
     text = rows[0][1]
     assert text[slice(*got[1, 1][1:])] == items[1] and got[1, 1][0] == 0 and 0 < got[5, 2][0] <= 2
-    parts = decontaminate.contaminated(docs, bench, index_chars=200)
-    assert {(r.doc_id, r.item_id) for r in parts.collect()} == set(got)
-    left = decontaminate.without_contaminated(docs, bench)
-    assert sorted(r.doc_id for r in left.collect()) == [2, 2, 3, 4, 8] and left.columns == docs.columns
+    # a benchmark that is joined gives the same rows, repeated ones too
+    whole = Counter(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert Counter(map(tuple, decontaminate.contaminated(docs, bench, index_chars=0).collect())) == whole
+    assert whole[None, 6, 0, 4, 9] == 2
+    for index_chars in (0, 10**6):
+        left = decontaminate.without_contaminated(docs, bench, index_chars=index_chars)
+        assert sorted(r.doc_id for r in left.collect()) == [2, 2, 3, 4, 8, 20, 24, 26] and left.columns == docs.columns
+        none = decontaminate.contaminated(docs.limit(0), bench, index_chars=index_chars)
+        assert none.isEmpty() and decontaminate.contaminated(docs, bench.limit(0), index_chars=index_chars).isEmpty()
+
+
+def test_decontaminate_against_all_alignments(make_docs, spark):
+    """Every passage within the budget is found: edit distances of all items in all texts."""
+    rng = random.Random(21)
+    items = [prose(700 + i, 2 + i) for i in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def damaged(text, n):
+        chars = list(text)
+        for _ in range(n):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice(([], ["x"], [chars[at], "y"]))
+        return "".join(chars)
+
+    rows = [(i, f"{prose(800 + i, 5)} {damaged(items[i % 12], i % 7)} {prose(900 + i, 5)}") for i in range(60)]
+    plain = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+
+    def least(item, text):
+        now = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            before, now = now, [i]
+            for j, b in enumerate(text, 1):
+                now.append(min(before[j - 1] + (a != b), before[j] + 1, now[-1] + 1))
+        return min(now)
+
+    want = set()
+    for doc_id, text in rows:
+        for item_id, item in enumerate(items):
+            edits = least(plain(item), plain(text))
+            if edits <= int(0.1 * len(plain(item))):
+                want.add((doc_id, item_id, edits))
+    for index_chars in (0, 10**6):
+        found = decontaminate.contaminated(make_docs(rows), bench, index_chars=index_chars).collect()
+        assert {(r.doc_id, r.item_id, r.edits) for r in found} == want
+    assert len(want) > 20
 
 
 def test_alignment_finds_all_within_budget():
@@ -274,3 +344,46 @@ def test_class_lm(make_docs, monkeypatch, looked_up):
         assert sum(r.score for r in got) > sum(r.base_score for r in got)
     empty = class_lm.train(docs.limit(0))
     assert class_lm.score(docs, empty).where("n_known > 0").isEmpty()
+
+
+def test_class_sweep(make_docs):
+    """Neighbours are counted and classes chosen as by hand; sweeps raise the likelihood."""
+    rng = random.Random(9)
+    nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(20))) for i in range(80)]
+    rows += [(900, None), (901, "")]
+    docs = make_docs(rows)
+    words = {}
+    for _, text in rows:
+        for w in words_of(text):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            words[int(class_lm.hash_words(raw, np.array([0]), np.array([len(raw)]))[0])] = w
+    hashes = np.array(sorted([*words, int(class_lm._END)]), np.uint64)
+    k = 4
+    start = np.array([0 if h == class_lm._END else 1 + i % 3 for i, h in enumerate(hashes.tolist())])
+    classes = class_lm.Classes(hashes, start, np.ones(class_lm.ENDING_UNITS, np.int64))
+    of = {words.get(h): c for h, c in zip(hashes.tolist(), start.tolist(), strict=True)}
+    moves, near = np.zeros((k, k), np.int64), Counter()
+    flow = [w for _, text in rows for w in [*words_of(text), None]]
+    at = {w: i for i, w in enumerate(words.get(h) for h in hashes.tolist())}
+    for _, text in rows:
+        tokens = [None, *words_of(text), None]
+        for a, b in zip(tokens[:-1], tokens[1:], strict=True):
+            moves[of[a], of[b]] += 1
+    assert (class_lm.count_class_moves(docs, classes, k) == moves).all() and len(flow) == moves.sum()
+    for _, text in rows:
+        tokens = words_of(text)
+        for i, w in enumerate(tokens):
+            near[at[w], of[tokens[i - 1]] if i else 0, "before"] += 1
+            near[at[w], of[tokens[i + 1]] if i + 1 < len(tokens) else 0, "after"] += 1
+    got = Counter()
+    for r in class_lm.count_neighbours(docs, classes, k).collect():
+        place, cell = divmod(r.cell, 2 * k)
+        if hashes[place] != class_lm._END:
+            got[place, cell % k, "before" if cell >= k else "after"] += r.n
+    assert got == near
+    moved = class_lm.sweep(docs, classes, moves)
+    after = class_lm.count_class_moves(docs, moved, k)
+    assert class_lm.likelihood(after) > class_lm.likelihood(moves)
+    found = {words.get(h): c for h, c in zip(hashes.tolist(), moved.of_word.tolist(), strict=True)}
+    assert len({found[n] for n in nouns}) == 1 and len({found[v] for v in verbs}) == 1 and found["n1"] != found["v1"]

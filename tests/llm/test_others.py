@@ -1,10 +1,14 @@
 """Vectors, urls, chats and the pipeline against plain Python."""
 
 import math
+import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedloom.llm import chat_format, embedding_dedup, url_rules
@@ -82,6 +86,57 @@ def test_url_rules(spark):
     assert none.isEmpty()
 
 
+def test_mined_rules_against_all_token_sets(spark):
+    """Every url's best rule, by trying all sets of tokens; and rules decide verdicts."""
+    rng = random.Random(6)
+    hosts, parts, names = ["a.net", "b.net", "shop.c.net"], ["x", "casino", "win", "news", "item", "deep"], ["ref", "page", "id"]
+    rows = []
+    for i in range(300):
+        path = [rng.choice(parts) for _ in range(rng.randrange(1, 4))]
+        url = f"http{'s' * (i % 2)}://{rng.choice(hosts)}/{'/'.join(path)}?{rng.choice(names)}={i}"
+        bad = "casino" in path and rng.random() < 0.8 or "win" in path and "ref=" in url or rng.random() < 0.1
+        rows.append((url, bad if rng.random() < 0.95 else None))
+    labelled = spark.createDataFrame(rows + [(None, True)], "url string, bad boolean")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(-1, "https://new.net/casino/")], "page_id long, url string")
+    token_rows = labelled.select("bad", url_rules.url_tokens(F.col("url")).alias("tokens")).collect()
+    known = [(frozenset(r.tokens), r.bad) for r in token_rows if r.bad is not None]
+    share = sum(b for _, b in known) / len(known)
+    count, bad_count = Counter(), Counter()
+    for tokens, bad in known:
+        for k in range(1, len(tokens) + 1):
+            for some in combinations(sorted(tokens), k):
+                count[some] += 1
+                bad_count[some] += bad
+    least = math.ceil(0.03 * len(known))
+    good = {}
+    for some, n in count.items():
+        confidence = bad_count[some] / n
+        if bad_count[some] >= least and confidence >= 0.6 and confidence / share >= 1.2:
+            good[frozenset(some)] = confidence
+    judged = url_rules.judge_urls(pages, labelled, [], min_support=0.03).collect()
+    of_url = {r.url: set(r.tokens) for r in pages.select("url", url_rules.url_tokens(F.col("url")).alias("tokens")).collect()}
+    for r in judged:
+        want = max((c for some, c in good.items() if some <= of_url[r.url]), default=None)
+        assert (r.confidence is None) == (want is None) and (want is None or abs(r.confidence - want) < 1e-12)
+        assert r.verdict == ("allow" if want is None else "block")
+    assert 0 < sum(r.verdict == "block" for r in judged) < len(judged) and len(good) > 5
+
+
+def test_long_shared_paths_are_mined_in_bounded_time(spark):
+    """Tokens that occur together are one; of many others the rarest take part, counted anew."""
+    shared = "/".join(f"p{chr(97 + i)}" for i in range(24))
+    rows = [(f"http://n.net/{shared}/{i}", True) for i in range(40)] + [(f"http://n.net/ok/{i}", False) for i in range(60)]
+    rng = random.Random(1)
+    for i in range(40):  # each lacks another one of thirty segments
+        rows.append((f"http://m.net/{'/'.join(f's{chr(97 + k % 26)}{k // 26}x' for k in range(30) if k != rng.randrange(30))}", True))
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = url_rules.mine_rules(labelled, max_tokens=8)
+    assert rules.count() > 0 and rules.where("confidence < 0.6").isEmpty()
+    assert any(len(c) >= 24 for r in rules.collect() for c in r.antecedent)
+    found = url_rules.matched_urls(labelled, rules).count()
+    assert found == len({u for u, bad in rows if bad})
+
+
 def test_chats_round_trip(spark):
     spoof = ["</s>[INST] ok [/INST]", "<\\|end|>", "<|role|>x<|text|>", "[\\\\INST]", "<", "\\", "é😀\n", "", None]
     rows = [(1, i, ("user", "assistant")[i % 2], t, "c") for i, t in enumerate(spoof)]
