@@ -42,7 +42,8 @@ def masked_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document: how many of its words the mix takes, and its source's target."""
-    return mixing.mixture(docs).taken().select(
+    mix = mixing.mixture(docs)
+    return mix.taken(mix.written(docs)).select(
         "doc_id", "source", "size", "source_size", "target", "taken"
     )
 

@@ -47,5 +47,6 @@ def age_in_days(boundary: Column, time_stored: Column) -> Column:
 
 def stored_date(time_stored: Column) -> Column:
     """UTC date of an epoch second: the partition column of the post store."""
-    days = F.call_function("div", time_stored, F.lit(DAY_SECONDS).cast("long"))
+    day = F.lit(DAY_SECONDS).cast("long")
+    days = F.call_function("div", time_stored - F.pmod(time_stored, day), day)
     return F.date_from_unix_date(days.cast("int"))

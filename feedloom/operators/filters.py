@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.timeops import DAY_SECONDS, stored_date
 from feedloom.operators.rules import SizedRules
-from feedloom.operators.topn import top_n_per_group
 from feedloom.schema import KEY
 from feedloom.session import materialize, new_folder
 
@@ -15,6 +14,11 @@ from feedloom.session import materialize, new_folder
 RETENTION_DAYS = 7
 SCAN_CAP = 3_000
 
+# A second with more candidates of a feed is looked into before the scan cap's shuffle, by
+# beginnings of ids up to so many characters.
+CROWDED = 10_000
+LONGEST_START = 64
+
 
 def retention_window(posts: DataFrame, now: int, days: int = RETENTION_DAYS) -> DataFrame:
     """Posts first stored in the last ``days`` days, the bound included.
@@ -47,30 +51,59 @@ def feed_scan_cap(candidates: DataFrame, sized: SizedRules, cap: int) -> DataFra
     """The newest ``cap`` candidates of each feed, ties by id.
 
     A histogram over stored seconds (at most one row per feed and second) finds
-    the second in which the cap falls. Only rows from that second on are
-    shuffled to be numbered, and of them only what numbers them: a harvest gives
-    all its rows one second, so they may be many. Those that stay are then picked
-    out of the candidates by key, which is unique within a feed.
+    the second in which the cap falls. A harvest gives all its rows one second, so a
+    second with more than ``CROWDED`` candidates is looked into by the beginnings of
+    ids, until the cap falls among so few. Rows beyond are dropped before any shuffle;
+    what is stored and numbered is at most ``cap + CROWDED`` rows of a feed.
     """
-    columns = candidates.columns
-    slim = candidates.select("feed", "time_stored", *KEY)
-    slim = materialize(slim, new_folder(candidates.sparkSession, "candidates"))
-    seconds = slim.groupBy("feed", "time_stored").agg(F.count(F.lit(1)).alias("n"))
+    spark, columns = candidates.sparkSession, candidates.columns
     newest = Window.partitionBy("feed").orderBy(F.desc("time_stored"))
-    cutoffs = (
-        seconds.withColumn("n", F.sum("n").over(newest))
-        .groupBy("feed")
-        .agg(
-            F.coalesce(
-                F.max(F.when(F.col("n") >= cap, F.col("time_stored"))), F.min("time_stored")
-            ).alias("_cutoff")
-        )
+    seconds = (
+        candidates.groupBy("feed", "time_stored").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(newest))
+        .where(F.col("upto") - F.col("n") < cap)
+    )
+    above = (F.col("upto") - F.col("n")).alias("above")
+    last = F.min_by(F.struct("time_stored", above, "n"), "time_stored")
+    cuts = seconds.groupBy("feed").agg(last.alias("last")).selectExpr(
+        "feed", "last.time_stored as _second", "last.above as _above", "last.n as _inside", "0 as _chars", "'' as _start"
+    )
+    cuts = materialize(cuts, new_folder(spark, "cuts"))
+    open_ones = cuts.where(_crowded(cap))
+    while not open_ones.isEmpty():
+        closer = materialize(_closer(candidates, open_ones, sized, cap), new_folder(spark, "cuts"))
+        rest = cuts.join(closer.select("feed"), "feed", "left_anti")
+        cuts = materialize(rest.unionByName(closer), new_folder(spark, "cuts"))
+        open_ones = cuts.where(_crowded(cap))
+    late = candidates.join(sized.hint(cuts), "feed").where(
+        "time_stored > _second or time_stored = _second and substring(id, 1, _chars) <= _start"
+    )
+    late = materialize(late.select(*columns), new_folder(spark, "late"))
+    order = Window.partitionBy("feed").orderBy(F.desc("time_stored"), "id", "community_id")
+    numbered = late.select("feed", "time_stored", *KEY).withColumn("_rank", F.row_number().over(order))
+    kept = numbered.where(F.col("_rank") <= cap).select("feed", *KEY)
+    return late.join(kept, ["feed", *KEY], "left_semi").select(*columns)
+
+
+def _crowded(cap: int) -> str:
+    """Cuts to be looked into; an id that long is not told apart by its beginning."""
+    return f"_inside > {CROWDED} and _above + _inside > {cap} and _chars < {LONGEST_START}"
+
+
+def _closer(candidates: DataFrame, cuts: DataFrame, sized: SizedRules, cap: int) -> DataFrame:
+    """The cuts with the beginning of ids, two characters longer, that the cap falls in."""
+    here = candidates.select("feed", "time_stored", "id").join(sized.hint(cuts), "feed").where(
+        "time_stored = _second and substring(id, 1, _chars) = _start"
+    )
+    starts = here.groupBy("feed", "_second", "_above", "_chars", F.expr("substring(id, 1, _chars + 2)").alias("start"))
+    along = Window.partitionBy("feed").orderBy("start")
+    upto = F.sum("n").over(along)
+    found = starts.agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto + F.col("_above"))
+    # what comes before the cap's beginning counts as above it
+    last = F.max_by(F.struct("start", "n", "upto"), "start").alias("last")
+    return found.where(F.col("upto") - F.col("n") < cap).groupBy("feed", "_second", "_chars").agg(last).selectExpr(
+        "feed", "_second", "last.upto - last.n as _above", "last.n as _inside", "_chars + 2 as _chars", "last.start as _start"
     )
-    late = slim.join(sized.hint(cutoffs), "feed").where("time_stored >= _cutoff")
-    order = [F.desc("time_stored"), F.col("id"), F.col("community_id")]
-    newest_ones = top_n_per_group(late, ["feed"], order, F.lit(cap), cap, "_rank")
-    kept = newest_ones.select("feed", *KEY)
-    return candidates.join(kept, ["feed", *KEY], "left_semi").select(*columns)
 
 
 def image_feed_filter(posts: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 """Caps, orders and pages of feeds.
 
-Windows here are per feed. Feeds have been through ``feed_scan_cap``, so a feed
-is a few thousand rows at most.
+A feed that has been through ``feed_scan_cap`` is a few thousand rows and numbered in one
+task. Where no such bound is stated, a feed may be any size and is numbered in ranges.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import page_link
+from feedloom.operators.prefix import numbers_in_order
 from feedloom.operators.topn import top_n_per_group
 
 # Fixed values.
@@ -18,6 +21,9 @@ HIGHEST_PAGE = 5_000
 
 TIES = ["id", "community_id"]
 
+# Feeds known to have no more rows are numbered in one task.
+ONE_TASK = 100_000
+
 
 def max_daily_posts(posts: DataFrame, bound: int) -> DataFrame:
     """The best-scored posts per (feed, community, age) up to the rule's ``max_daily``.
@@ -29,17 +35,21 @@ def max_daily_posts(posts: DataFrame, bound: int) -> DataFrame:
     return top_n_per_group(posts, keys, order, F.col("max_daily"), bound, "daily_rank")
 
 
-def rank_order(posts: DataFrame) -> DataFrame:
-    """Add ``rank``: by community, then age, then best score."""
-    order = ["community_name", "age_in_days", F.desc("score"), *TIES]
+def _numbered(posts: DataFrame, order: list, name: str, most: int | None) -> DataFrame:
+    if most is None or most > ONE_TASK:
+        return numbers_in_order(posts, "feed", order, name)
     within = Window.partitionBy("feed").orderBy(*order)
-    return posts.withColumn("rank", F.row_number().over(within).cast("long"))
+    return posts.withColumn(name, F.row_number().over(within).cast("long"))
+
+
+def rank_order(posts: DataFrame, most: int | None = None) -> DataFrame:
+    """Add ``rank``: by community, then age, then best score. No feed has over ``most`` rows, if given."""
+    return _numbered(posts, ["community_name", "age_in_days", F.desc("score"), *TIES], "rank", most)
 
 
-def display_order(posts: DataFrame) -> DataFrame:
-    """Add ``display_rank``: newest stored first, then id."""
-    within = Window.partitionBy("feed").orderBy(F.desc("time_stored"), *TIES)
-    return posts.withColumn("display_rank", F.row_number().over(within).cast("long"))
+def display_order(posts: DataFrame, most: int | None = None) -> DataFrame:
+    """Add ``display_rank``: newest stored first, then id. No feed has over ``most`` rows, if given."""
+    return _numbered(posts, [F.desc("time_stored"), *TIES], "display_rank", most)
 
 
 def feed_pages(posts: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -55,11 +65,8 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 
 def requested_page(text: str) -> int:
-    """Page number asked for: blank, 0 and non-numeric text mean page 1."""
-    try:
-        page_no = int(text)
-    except ValueError:
-        page_no = 0
+    """Page number asked for: blank, 0 and any text but a plain whole number mean page 1."""
+    page_no = int(text) if re.fullmatch(r"[+-]?[0-9]+", text) else 0
     if not 0 <= page_no <= HIGHEST_PAGE:
         raise ValueError(f"page must be 0 to {HIGHEST_PAGE}, not {page_no}")
     return page_no or 1

@@ -24,11 +24,15 @@ MAX_BROADCAST_BYTES = 32_000_000
 
 @dataclass(frozen=True)
 class SizedRules:
-    """Rules with one row per (feed, community), and what a plan must know of them."""
+    """Rules with one row per (feed, community), and what a plan must know of them.
+
+    ``max_daily`` and ``n`` are numbers that no cap and no feed's communities exceed.
+    """
 
     rows: DataFrame
     small: bool
     max_daily: int
+    n: int = 0
 
     def hint(self, df: DataFrame) -> DataFrame:
         """Mark for broadcast a table with at most one row per rule, if rules are few.
@@ -65,7 +69,7 @@ def size_rules(rules: DataFrame) -> SizedRules:
             .agg(F.max_by(F.struct(*others), position).alias("last"))
             .select("feed", "community", "last.*")
         )
-    return SizedRules(rules, in_bytes <= MAX_BROADCAST_BYTES, max_daily)
+    return SizedRules(rules, in_bytes <= MAX_BROADCAST_BYTES, max_daily, n)
 
 
 def resolve_feed_rules(

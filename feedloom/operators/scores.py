@@ -38,21 +38,32 @@ def score_histogram(posts: DataFrame) -> DataFrame:
     return materialize(counts, new_folder(posts.sparkSession, "scores"))
 
 
-def community_thresholds(posts: DataFrame, sized: SizedRules) -> DataFrame:
+def community_thresholds(
+    posts: DataFrame, sized: SizedRules, counts: DataFrame | None = None
+) -> DataFrame:
     """Rules with ``min_score``, the lowest score their percentile lets in.
 
     With n posts that is the score at zero-based offset int(P * n / 100) in
     descending order; 0 for P ≥ 100 and for communities without posts. All
-    rules are answered in one pass over the posts.
+    rules are answered in one pass over the posts. Given ``counts`` of them
+    (community, score, n), such as a store's index keeps, no post is read.
     """
-    wanted = sized.rows.select(F.col("community").alias("community_name")).distinct()
+    wanted = sized.rows.select("community").distinct()
+    if counts is not None:
+        kept = counts.join(sized.hint(wanted), "community", "left_semi")
+        return _thresholds(materialize(kept, new_folder(posts.sparkSession, "scores")), sized)
+    wanted = wanted.withColumnRenamed("community", "community_name")
     posts = posts.join(sized.hint(wanted), "community_name", "left_semi")
     return _thresholds(score_histogram(posts), sized)
 
 
 def score_at_percentile(posts: DataFrame, percentiles: list[float]) -> DataFrame:
     """``min_score`` of every community of ``posts`` at each of the percentiles."""
-    hist = score_histogram(posts)
+    return percentiles_of_counts(score_histogram(posts), percentiles)
+
+
+def percentiles_of_counts(hist: DataFrame, percentiles: list[float]) -> DataFrame:
+    """``score_at_percentile`` from stored counts of posts (community, score, n)."""
     asked = F.explode(F.array(*[F.lit(float(p)) for p in percentiles]))
     rules = (
         hist.select("community")

@@ -61,6 +61,14 @@ def feed_status(feeds: DataFrame, harvest_log: DataFrame, now: int) -> DataFrame
     )
 
 
+def menu_with_status(menu: DataFrame, harvest_log: DataFrame, now: int) -> DataFrame:
+    """``feed_menu`` with each feed's status and the text shown for it, sorted by feed name.
+
+    Feeds of two sources that share a name share its status.
+    """
+    return feed_status(menu, harvest_log, now).orderBy("feed", "source")
+
+
 def feed_listing(
     posts: DataFrame, site_prefix: str = SITE_PREFIX, preview_chars: int = 80
 ) -> DataFrame:

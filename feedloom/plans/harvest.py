@@ -15,8 +15,9 @@ from feedloom.operators.ingest import (
     one_row_per_key,
     stored_matches,
 )
-from feedloom.schema import KEY, POST_COLUMNS
+from feedloom.schema import FIRST_SEEN, KEY, POST_COLUMNS
 from feedloom.session import materialize, new_folder
+from feedloom.sources.index import StoreIndex
 from feedloom.sources.listings import drop_sticky, stamp_harvest_time
 
 CONTINUE = "continue"
@@ -101,21 +102,28 @@ def harvest_run(
     run_ts: int,
     rules: DataFrame | None = None,
     limits: StopLimits = StopLimits(),
+    index: StoreIndex | None = None,
 ) -> Harvest:
     """Ingest landed pages (post columns, ``page_no``, ``pos``) of all communities.
 
     What a page adds decides whether the next is taken, and a link one community
-    posts blocks it for the others. So pages are ingested in rounds: round k
-    takes page k of every community still going, in order of community and
-    position. There are at most ``max_pages + 1`` rounds, each over one page per
-    community, and every round's result is a stored table.
-
-    The store is read before the rounds, for the rows that share a key or a link
-    with the landed ones. A community ends at its first missing page; rows without
-    a page number, or with one below 1, are refused.
+    posts blocks it for the others, page by page and in order of community and position.
+
+    Where no post is on two pages, this is worked out for all pages at once: rows are
+    labelled as if every community went on as far as it could, which gives the
+    pages where they stop, and again up to those, until nothing changes. What is
+    found for the pages up to one depends on those alone, so a result that doesn't
+    change is the page-by-page one; every pass settles one more page at least, and two
+    or three mostly settle all. A post on several pages depends on its own earlier
+    label too; then pages are taken in rounds, page k of every community still
+    going in round k. There are at most ``max_pages + 1`` rounds. Passes and rounds
+    only read stored tables, so plans do not grow.
+
+    The store is read before them, for the rows that share a key or a link
+    with the landed ones; given its ``index``, only that is read. A community ends at its
+    first missing page; rows without a page number, or with one below 1, are refused.
     """
-    spark = store.sparkSession
-    folder = new_folder(spark, "harvest")
+    folder = new_folder(store.sparkSession, "harvest")
     if rules is not None:
         harvested = rules.select(F.col("community").alias("community_name")).distinct()
         landed = landed.join(harvested, "community_name", "left_semi")
@@ -127,21 +135,73 @@ def harvest_run(
         f"{folder}/rows",
         partition_by="page_no",
     )
-    known = materialize(stored_matches(store, rows), f"{folder}/known")
+    if index:
+        known = materialize(index.known(rows), f"{folder}/known")
+        held = materialize(index.holders(rows), f"{folder}/held")
+    else:
+        known = materialize(stored_matches(store, rows), f"{folder}/known")
+        held = link_holders(known)
+    known = known.select(*KEY, "url", *FIRST_SEEN)
     sizes = harvest_page_stats(rows, F.lit(False)).select("community_name", "page_no", "n_rows")
     sizes = materialize(sizes, f"{folder}/sizes")
     if not sizes.where(F.coalesce("page_no", F.lit(0)) < 1).isEmpty():
         raise ValueError("landed pages are numbered from 1")
 
-    # Every round reads what all rounds before it stored as one table, so plans
-    # do not grow with the rounds.
+    pages_of = drop_sticky(rows).groupBy(*KEY).agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"))
+    label = _by_passes if pages_of.where("first <> last").isEmpty() else _by_rounds
+    labelled = label(rows, known, held, sizes, limits, folder)
+
+    pages = harvest_stop_rule(_page_stats(sizes, labelled, "left"), limits)
+    last = F.max_by(F.struct(*[c for c in POST_COLUMNS if c not in KEY]), "page_no")
+    stored = merged_rows(labelled, "page_no")
+    changed = stored.groupBy(*KEY).agg(last.alias("v")).select(*KEY, "v.*")
+    return Harvest(labelled, pages, changed.select(*POST_COLUMNS))
+
+
+def _by_passes(
+    rows: DataFrame, known: DataFrame, held: DataFrame, sizes: DataFrame, limits: StopLimits, folder: str
+) -> DataFrame:
+    """Labelled rows of the ingested pages, if no post is on two pages."""
+    ordered = drop_sticky(rows).withColumn("chunk", F.struct("page_no", "community_name"))
+    slim = ordered.select(*KEY, "url", "page_no", "community_name", "chunk", "seq")
+    slim = materialize(slim, f"{folder}/slim")
+    # At first, every row may be new.
+    all_new = sizes.withColumn("n_new", F.col("n_rows"))
+    last = _last_pages(all_new.withColumn("percent_new", percent_new(F.col("n_rows"), F.col("n_new"))), limits)
+    last = materialize(last, f"{folder}/last-0")
+    for n in range(1, limits.max_pages + 3):
+        taken = one_row_per_key(_up_to(slim, last))
+        labels = materialize(label_rows(taken, known, held), f"{folder}/pass-{n}")
+        found = _last_pages(_page_stats(sizes, labels, "left"), limits)
+        found = materialize(found, f"{folder}/last-{n}")
+        if found.join(last, found.columns, "left_anti").isEmpty():
+            break
+        last = found
+    decided = labels.select(*KEY, "store_result", *[c for c in labels.columns if c.startswith("stored_")])
+    return materialize(one_row_per_key(_up_to(ordered, last)).join(decided, KEY), f"{folder}/labelled")
+
+
+def _last_pages(stats: DataFrame, limits: StopLimits) -> DataFrame:
+    """The last page each community goes to."""
+    pages = harvest_stop_rule(stats, limits)
+    return pages.groupBy("community_name").agg(F.max("page_no").alias("last_page"))
+
+
+def _up_to(rows: DataFrame, last: DataFrame) -> DataFrame:
+    return rows.join(last, "community_name").where("page_no <= last_page").select(*rows.columns)
+
+
+def _by_rounds(
+    rows: DataFrame, known: DataFrame, held: DataFrame, sizes: DataFrame, limits: StopLimits, folder: str
+) -> DataFrame:
+    """Labelled rows of the ingested pages, page by page."""
     going: DataFrame | None = None
     labelled: DataFrame | None = None
     for page_no in range(1, limits.max_pages + 2):
         page = drop_sticky(rows.where(F.col("page_no") == page_no))
         if going is not None:
             page = page.join(going, "community_name", "left_semi")
-        holders = link_holders(known)
+        holders = held
         if labelled is not None:
             holders = holders.unionByName(link_changes(labelled))
         batch = label_rows(one_row_per_key(page), _current(known, labelled), holders)
@@ -152,14 +212,10 @@ def harvest_run(
         this_round = labelled.where(F.col("page_no") == page_no)
         stats = _page_stats(sizes, this_round, "inner")
         going = stats.where(stop_reason(limits) == CONTINUE).select("community_name")
+        going = materialize(going, f"{folder}/going-{page_no}")
         if going.isEmpty():
             break
-
-    pages = harvest_stop_rule(_page_stats(sizes, labelled, "left"), limits)
-    last = F.max_by(F.struct(*[c for c in POST_COLUMNS if c not in KEY]), "page_no")
-    stored = merged_rows(labelled, "page_no")
-    changed = stored.groupBy(*KEY).agg(last.alias("v")).select(*KEY, "v.*")
-    return Harvest(labelled, pages, changed.select(*POST_COLUMNS))
+    return labelled
 
 
 def _add_round(batch: DataFrame, path: str, page_no: int) -> DataFrame:

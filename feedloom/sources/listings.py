@@ -26,7 +26,7 @@ def stream_listings(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def _reject_reason(raw: DataFrame) -> Column:
+def listing_reject_reason(raw: DataFrame) -> Column:
     """Why a listing row can't be a post; null if it can."""
     reasons = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in REQUIRED_IN_LISTING]
     if CORRUPT in raw.columns:
@@ -40,7 +40,7 @@ def listing_rejects(raw: DataFrame) -> DataFrame:
     Lines that are no listing row, and rows without a value a post must have; of
     several reasons the first, in the order of the columns of a listing.
     """
-    return raw.withColumn("reason", _reject_reason(raw)).where(F.col("reason").isNotNull())
+    return raw.withColumn("reason", listing_reject_reason(raw)).where(F.col("reason").isNotNull())
 
 
 def listing_normalize(raw: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def listing_normalize(raw: DataFrame) -> DataFrame:
     ``time_stored`` starts as the creation time, until a harvest stamps it. Rows
     of ``listing_rejects`` are no posts, so no page counts them.
     """
-    posts = raw.where(_reject_reason(raw).isNull()).withColumns(
+    posts = raw.where(listing_reject_reason(raw).isNull()).withColumns(
         {
             "community_name": F.lower("community"),
             "time_created": F.col("created_utc").cast("long"),
@@ -73,11 +73,12 @@ def stamp_harvest_time(rows: DataFrame, run_ts: int) -> DataFrame:
     return rows.withColumn("time_stored", F.lit(run_ts).cast("long"))
 
 
-def page_cursor(rows: DataFrame) -> DataFrame:
+def page_cursor(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Per page, the cursor of the next one: the name of the last row not pinned.
 
     A page of pinned rows only leaves the cursor as it was; before any other
-    row it is blank. Pages are stored before cursors are carried over them, as
+    row it is that of ``before`` (community_name, cursor), where earlier pages
+    ended, or blank. Pages are stored before cursors are carried over them, as
     that takes two looks at them.
     """
     pages = rows.groupBy("community_name", "page_no").agg(
@@ -87,9 +88,19 @@ def page_cursor(rows: DataFrame) -> DataFrame:
         "chunk", F.call_function("div", F.col("page_no"), F.lit(PAGES_PER_CHUNK).cast("long"))
     )
     latest = F.max_by("own", F.when(F.col("own").isNotNull(), F.col("page_no")))
-    before = carry_in(
+    carried = carry_in(
         pages, ["community_name"], "chunk", latest, lambda c: F.last(c, ignorenulls=True), "carried"
     )
+    start = F.lit("")
+    if before is not None:
+        ended = before.select("community_name", F.col("cursor").alias("start"))
+        carried, start = carried.join(ended, "community_name", "left"), F.coalesce("start", F.lit(""))
     so_far = Window.partitionBy("community_name", "chunk").orderBy("page_no")
-    cursor = F.coalesce(F.last("own", ignorenulls=True).over(so_far), "carried", F.lit(""))
-    return before.select("community_name", "page_no", cursor.alias("cursor"))
+    cursor = F.coalesce(F.last("own", ignorenulls=True).over(so_far), "carried", start)
+    return carried.select("community_name", "page_no", cursor.alias("cursor"))
+
+
+def last_cursors(cursors: DataFrame, before: DataFrame) -> DataFrame:
+    """Where each community's pages end: the cursor of its last page here, else that of ``before``."""
+    here = cursors.groupBy("community_name").agg(F.max_by("cursor", "page_no").alias("cursor"))
+    return here.unionByName(before.join(here, "community_name", "left_anti").select(here.columns))

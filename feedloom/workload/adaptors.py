@@ -21,6 +21,9 @@ CUT = 1_705_708_800
 LOG_NOW = 1_706_800_000
 ORDERS_NOW = 902_000_000
 WEEK = 7 * 86_400
+# Days that bring January's events to both sides of a clock change in ZONE, and its second.
+ZONE, ZONE_DAYS, CLOCK_CHANGE = "America/Los_Angeles", 50, 1_710_064_800
+DOC_SINCE = 1_700_003_000
 
 # feed, description, media, feed percentile, feed cap, community, percentile, cap.
 # 0 and blank are unset.
@@ -294,3 +297,33 @@ def harvest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             "case event_id % 7 when 0 then 'ERROR' when 1 then 'HARVESTING' else 'IDLE' end"
         ).alias("status"),
     )
+
+
+def menu_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as status changes of feeds named as those of the first customers."""
+    feed = F.expr("'feed_' || event_id % 200 || '_' || (1 + event_id % 2) as feed")
+    return harvest_log(spark, sf_dir).select(F.col("entry_no").alias("event_id"), "ts", "entry_no", "status").select(
+        feed, "ts", "entry_no", "status"
+    )
+
+
+def lost_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a community of their own, whose pages have lost their numbers."""
+    lost = landed_pages(spark, sf_dir).where("community = 'View' and pos % 25 = 0")
+    return lost.withColumns(
+        {"community": F.lit("Lost"), "id": F.concat(F.lit("lost"), "id"), "page_no": F.lit(None).cast("long")}
+    )
+
+
+def odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a link of six kinds: bad host, port, escape and bracket, and two that are sound."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id",
+        """case page_id % 6
+          when 0 then 'http://exa mple.org/i/' || page_id || '.png'
+          when 1 then 'http://example.org:8x/i/' || page_id || '.png'
+          when 2 then 'https://example.org/i/%zz' || page_id || '.png'
+          when 3 then 'https://example.org:80/i/%41' || page_id || '.png'
+          when 4 then 'https://[::1/i/' || page_id || '.png'
+          else 'https://[::1]:8/i/' || page_id || '.png' end as url""",
+    )

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from feedloom.workload.adaptors import (
+    CLOCK_CHANGE,
     CUT,
+    DOC_SINCE,
+    ZONE_DAYS,
     LOG_NOW,
     MUTED_RULES,
     NOW,
@@ -124,7 +127,7 @@ bars as (
    and p.place = cast(trunc(r.percentile * p.n / 100::double) as bigint)
   where r.percentile > 0)"""
 
-# Link parts and the site rules, in order.
+# Link parts and the site rules, in order; hosts, patterns and markup are fixed values.
 MEDIA = r"""parts as (
   select *,
     lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme,
@@ -174,6 +177,14 @@ def _boundary(now: str) -> str:
     return f"(({now}) - (({now}) - 10800) % {DAY} + {DAY})"
 
 
+def _boundary_in_zone(now: str) -> str:
+    """The same in a zone whose clocks go from 8 to 7 hours behind UTC at ``CLOCK_CHANGE``."""
+    off = lambda t: f"(case when {t} >= {CLOCK_CHANGE} then -25200 else -28800 end)"
+    local = f"({now} + {off(now)} - 10800)"
+    at_three = f"({local} - ({local} % {DAY} + {DAY}) % {DAY} + {DAY} + 10800)"
+    return f"({at_three} - {off(f'({at_three} + 25200)')})"
+
+
 def _age(boundary: str, stored: str = "time_stored") -> str:
     delta = f"({boundary} - {stored})"
     return f"(case when {delta} < 0 then {delta} - {DAY} else {delta} end) // {DAY}"
@@ -269,6 +280,50 @@ st{k} as materialized (
   from lab{k} where store_result <> 'SKIPPED')"""
 
 
+def _row_by_row() -> str:
+    """The batch of documents stored row by row: labels ``lab1`` and state ``st1``.
+
+    ``written`` is what a writer keeps: the turn it is at, posts by key with their links, and
+    the label of each row so far. A step looks one row's key and link up in it.
+    """
+    return "with recursive " + ",\n".join(
+        [
+            POSTS_DOC,
+            "numbered as materialized (select *, row_number() over (order by seq) as turn from doc_batch)",
+            """written(kind, id, community_id, url, result, turn) using key (kind, id, community_id) as (
+  select 'post', id, community_id, coalesce(url, ''), '', 0::bigint from doc_store
+  union all select 'turn', '', '', '', '', 1
+  union
+  (with now as (
+    select b.id, b.community_id, coalesce(b.url, '') as url, b.turn,
+      exists (select 1 from recurring.written p
+        where p.kind = 'post' and p.id = b.id and p.community_id = b.community_id) as hit,
+      exists (select 1 from recurring.written p where p.kind = 'post' and p.url = b.url and b.url <> '') as held
+    from written w join numbered b on w.kind = 'turn' and b.turn = w.turn
+  ), said as (
+    select *, case when hit then 'UPDATED' when held then 'SKIPPED' else 'NEW' end as result from now
+  )
+  select 'turn', '', '', '', '', turn + 1 from said
+  union all select 'label', id, community_id, '', result, turn from said
+  union all select 'post', id, community_id, url, '', 0 from said where result <> 'SKIPPED'))""",
+            """lab1 as materialized (
+  select b.*, w.result as store_result, s.community_name as old_community,
+    s.time_created as old_created, s.time_stored as old_stored
+  from numbered b join written w on w.kind = 'label' and w.id = b.id and w.community_id = b.community_id
+  left join doc_store s on s.id = b.id and s.community_id = b.community_id)""",
+            f"""st1 as materialized (
+  select {POST_COLUMNS} from doc_store s
+  where not exists (select 1 from lab1 l where l.id = s.id and l.community_id = s.community_id)
+  union all
+  select id, community_id, coalesce(old_community, community_name), name, permalink,
+    coalesce(old_created, time_created), coalesce(old_stored, time_stored),
+    is_active, is_sticky, score, title, url
+  from lab1 where store_result <> 'SKIPPED')
+""",
+        ]
+    )
+
+
 def _harvest() -> str:
     """Eleven rounds, page by page, over communities still going."""
     ctes = [
@@ -448,6 +503,7 @@ def all_oracles() -> dict[str, str]:
 from (select community_name, page_no, arg_max(name, pos) filter (where not is_sticky) as own
   from listing_ev group by community_name, page_no)"""
     )
+    sql["page_cursor_batches"] = sql["page_cursor"]
     sql["stamp_harvest_time"] = (
         _with(LISTING_EV)
         + f"select id, community_id, time_created, cast({NOW} as bigint) as time_stored from listing_ev"
@@ -476,13 +532,16 @@ from posts_ev"""
         + """select id, community_id, url from doc_batch
 where url <> '' and url in (select url from doc_store)"""
     )
-    upsert = _with(
-        POSTS_DOC,
-        f"st0 as (select {POST_COLUMNS} from doc_store)",
-        _upsert_round(1, "select * from doc_batch", "b.seq"),
-    )
+    upsert = _row_by_row()
     sql["ingest_classify"] = upsert + "select id, community_id, store_result from lab1"
     sql["ingest_merge"] = upsert + f"select {POST_COLUMNS} from st1"
+    for name in ("known_by_key", "known_by_url", "ingest_classify", "ingest_merge"):
+        sql[f"{name}_index"] = sql[name]
+    sql["score_at_percentile_index"] = "with recursive " + _percentiles(
+        upsert.removeprefix("with recursive "),
+        f"select * from st1 where time_stored >= {DOC_SINCE} and is_active",
+        ["0", "10", "50", "90", "99.9", "100"],
+    ).removeprefix("with ")
 
     stats = _with(LISTING_EV, STATS)
     sql["harvest_page_stats"] = stats + "select * from judged"
@@ -492,6 +551,28 @@ where url <> '' and url in (select url from doc_store)"""
         f"select * from stop{k}" for k in range(1, 12)
     )
 
+    again = f"""select * replace ({NOW + 21_600} as time_stored, score + 7 as score) from listing_ev
+    where page_no = 1 and not is_sticky"""
+    twice = _harvest().rstrip() + ",\n" + _upsert_round(12, again, "b.community_name, b.pos")
+    sql["harvest_stream_stop_rule"] = twice + f"\nselect {POST_COLUMNS} from st12"
+    labels = "\n  union all ".join(
+        f"select community_name, store_result, page_no, {3 if k == 12 else 2}::bigint as version from lab{k}"
+        for k in range(1, 13)
+    )
+    sql["harvest_ledger"] = f"""{twice},
+labels as ({labels}),
+counted as (
+  select version, community_name, max(page_no) as last_page, count(*) filter (store_result = 'NEW') as n_new,
+    count(*) filter (store_result = 'UPDATED') as n_updated, count(*) filter (store_result = 'SKIPPED') as n_skipped
+  from labels group by all),
+landed as (select community_name, count(*) as n_landed from listing_ev group by all)
+select community_name, 'IDLE' as status, '' as reason, n_landed, 0::bigint as n_rejected, n_new, n_updated, n_skipped,
+  last_page, {NOW} + (version - 2) * 21600 as ts, version
+from landed join counted using (community_name)
+union all
+select 'lost', 'ERROR', 'a row without a place', count(*), 0, 0, 0, 0, 0, {NOW}, 2
+from listing_ev where community_name = 'view' and pos % 25 = 0 having count(*) > 0"""
+
     week = _with(POSTS_EV, _recent(NOW))
     sql["retention_window"] = (
         ev + f"select {POST_COLUMNS} from posts_ev where time_stored >= {NOW - WEEK}"
@@ -507,6 +588,17 @@ from recent p join bars b on p.community_name = b.community and p.score >= b.min
         _with(POSTS_EV, _rules(RULES), _recent(NOW), _candidates(NOW, 40))
         + "select feed, id, community_id, time_stored from candidates"
     )
+    sql["feed_scan_cap_stamped"] = (
+        _with(
+            POSTS_EV,
+            f"""stamped as (
+  select * replace ({NOW} - time_stored % 3 * 21600 as time_stored) from posts_ev)""",
+            _rules(RULES),
+            _recent(NOW, "stamped"),
+            _candidates(NOW, 40),
+        )
+        + "select feed, id, community_id, time_stored from candidates"
+    )
     sql["zero_percentile_excluded"] = (
         _with(POSTS_EV, _rules(MUTED_RULES))
         + """select feed, id, community_id, community_name
@@ -562,6 +654,16 @@ from feeds group by feed"""
     when hour(t) < 3 then date_trunc('day', t) + interval 3 hours
     else date_trunc('day', t) + interval 27 hours end) as bigint) as boundary
 from (select event_id, cast(floor(epoch(ts)) as bigint) as now, ts as t from events)"""
+    later = f"(cast(floor(epoch(ts)) as bigint) + {ZONE_DAYS * DAY})"
+    sql["day_boundary_zone"] = (
+        f"select event_id, {later} as now, {_boundary_in_zone(later)} as boundary from events"
+    )
+    sql["media_links_malformed"] = """select page_id, link, case when page_id % 6 in (3, 5) then link else '' end as media_url
+from (select page_id, case page_id % 6
+  when 0 then 'http://exa mple.org/i/' || page_id || '.png' when 1 then 'http://example.org:8x/i/' || page_id || '.png'
+  when 2 then 'https://example.org/i/%zz' || page_id || '.png' when 3 then 'https://example.org:80/i/%41' || page_id || '.png'
+  when 4 then 'https://[::1/i/' || page_id || '.png' else 'https://[::1]:8/i/' || page_id || '.png' end as link
+  from pages)"""
     sql["age_in_days"] = (
         ev
         + f"""select id, community_id, time_stored,
@@ -590,6 +692,13 @@ from (select event_id, cast(floor(epoch(ts)) as bigint) as now, ts as t from eve
         + """select feed, row_number() over (partition by feed
     order by community_name, age_in_days, score desc, id, community_id) as rank,
   community_name, cast(age_in_days as bigint) as age_in_days, score, id, community_id
+from candidates"""
+    )
+    sql["rank_order_orders"] = (
+        _with(POSTS_ORD, _rules(ORDER_RULES), _recent(ORDERS_NOW, "posts_ord"), _candidates(ORDERS_NOW, 2**62))
+        + """select feed, row_number() over (partition by feed
+    order by community_name, age_in_days, score desc, id, community_id) as rank,
+  community_name, cast(age_in_days as bigint) as age_in_days, score, id
 from candidates"""
     )
     sql["display_order"] = (
@@ -680,6 +789,9 @@ union all
 select feed, cast({NOW} as bigint), {snapshot_columns}
 from ({_feeds(NOW)} select * from feeds) where feed <> 'news'"""
 
+    sql["feed_snapshot_changes"] = f"""select feed, cast({NOW} as bigint) as snapshot_ts, {snapshot_columns}
+from ({_feeds(NOW)} select * from feeds)"""
+
     sql["feed_status"] = f"""with log as (
   select event_type as feed, cast(floor(epoch(ts)) as bigint) as ts,
     case event_id % 7 when 0 then 'ERROR' when 1 then 'HARVESTING' else 'IDLE' end as status,
@@ -695,6 +807,21 @@ select *, case status when 'ERROR' then 'Error' when 'HARVESTING' then 'Harvesti
     else printf('%02d:%02d ago', ({LOG_NOW} - last_harvest) // 3600,
       ({LOG_NOW} - last_harvest) // 60 % 60) end end as status_text
 from latest"""
+    sql["menu_with_status"] = f"""{menu.rstrip()},
+log as (
+  select 'feed_' || event_id % 200 || '_' || (1 + event_id % 2) as feed, cast(floor(epoch(ts)) as bigint) as ts,
+    case event_id % 7 when 0 then 'ERROR' when 1 then 'HARVESTING' else 'IDLE' end as status,
+    row_number() over (partition by event_id % 200, event_id % 2
+      order by cast(floor(epoch(ts)) as bigint) desc, event_id desc) as back
+  from events),
+shown as (
+  select m.*, coalesce(l.status, 'IDLE') as status, coalesce(l.ts, 0) as last_harvest
+  from menu m left join log l on l.feed = m.feed and back = 1)
+select *, case status when 'ERROR' then 'Error' when 'HARVESTING' then 'Harvesting'
+  else case when last_harvest = 0 then 'Not harvested yet'
+    else printf('%02d:%02d ago', ({LOG_NOW} - last_harvest) // 3600,
+      ({LOG_NOW} - last_harvest) // 60 % 60) end end as status_text
+from shown"""
     sql["feed_listing"] = (
         feeds
         + """select feed, display_rank, 'https://www.reddit.com' || permalink as link, title,
@@ -705,6 +832,7 @@ from feeds"""
     )
     sql["build_feed"] = feeds + f"select {FEED_COLUMNS} from feeds where feed = 'news'"
     sql["build_all_feeds"] = feeds + f"select {FEED_COLUMNS} from feeds"
+    sql["build_all_feeds_store"] = sql["build_all_feeds"]
     sql["build_all_feeds_orders"] = (
         _feeds(ORDERS_NOW, ORDER_RULES, "posts_ord", POSTS_ORD, cap=2**62)
         + """select feed, display_rank, id, community_name, score,

@@ -14,8 +14,9 @@ from feedloom.plans import feeds as feed_plans
 from feedloom.plans import harvest
 from feedloom.schema import POST_COLUMNS, POSTS
 from feedloom.session import materialize, new_folder
-from feedloom.sources import listings, posts
+from feedloom.sources import index, listings, posts
 from feedloom.sources import rules as rule_sources
+from feedloom.streaming import cursors
 from feedloom.streaming import harvest as harvest_streaming
 from feedloom.streaming import snapshots
 from feedloom.workload import adaptors as a
@@ -77,6 +78,18 @@ def page_cursor(spark, sf):
     return listings.page_cursor(a.listing_ev(spark, sf))
 
 
+@query
+def page_cursor_batches(spark, sf):
+    """The same from pages that land in three batches."""
+    folder = new_folder(spark, "cursors")
+    landed = materialize(a.landed_pages(spark, sf), f"{folder}/landed")
+    for first, last in ((1, 2), (3, 7), (8, 10**9)):
+        landed.where(F.col("page_no").between(first, last)).write.mode("append").json(f"{folder}/landing")
+        listing = listings.stream_listings(spark, f"{folder}/landing")
+        cursors.cursor_stream(listing, f"{folder}/root", f"{folder}/progress").awaitTermination()
+    return cursors.read_cursors(spark, f"{folder}/root")
+
+
 @query
 def stamp_harvest_time(spark, sf):
     stamped = listings.stamp_harvest_time(a.listing_ev(spark, sf), a.NOW)
@@ -137,6 +150,54 @@ def ingest_merge(spark, sf):
     return ingest.ingest_merge(a.doc_store(spark, sf), batch)
 
 
+# The same by the index of a stored store
+
+
+def _merged(spark, sf, merges=3):
+    """The store of documents with an index, and the batch in so many merges; its folder and version."""
+    root = new_folder(spark, "indexed")
+    posts.posts_sink(a.doc_store(spark, sf), root, version=1, index_buckets=16)
+    batch = ingest.by_sequence(a.doc_batch(spark, sf), "seq")
+    size = -(-(batch.agg(F.max("seq")).first()[0] + 1) // max(merges, 1))
+    for i in range(merges):
+        part = batch.where((F.col("seq") >= i * size) & (F.col("seq") < (i + 1) * size))
+        posts.merge_posts(spark, root, part, version=2 + i)
+    return root, 1 + merges
+
+
+@query
+def known_by_key_index(spark, sf):
+    known = index.open_index(spark, *_merged(spark, sf, 0)).known_by_key(a.doc_batch(spark, sf))
+    return known.select("id", "community_id", "seq")
+
+
+@query
+def known_by_url_index(spark, sf):
+    known = index.open_index(spark, *_merged(spark, sf, 0)).known_by_url(a.doc_batch(spark, sf))
+    return known.select("id", "community_id", "url")
+
+
+@query
+def ingest_classify_index(spark, sf):
+    batch = ingest.by_sequence(a.doc_batch(spark, sf), "seq")
+    labelled = index.open_index(spark, *_merged(spark, sf, 0)).classify(batch)
+    return labelled.select("id", "community_id", "store_result")
+
+
+@query
+def ingest_merge_index(spark, sf):
+    root, version = _merged(spark, sf)
+    return posts.read_posts(spark, root, version).select(*POST_COLUMNS)
+
+
+@query
+def score_at_percentile_index(spark, sf):
+    """Percentiles of a store that merges have changed, from the scores they kept."""
+    kept = index.open_index(spark, *_merged(spark, sf)).score_counts(a.DOC_SINCE)
+    counts = materialize(kept, new_folder(spark, "scores"))
+    return scores.percentiles_of_counts(counts, [0, 10, 50, 90, 99.9, 100])
+
+
 @query
 def harvest_page_stats(spark, sf):
     return harvest.harvest_page_stats(a.listing_ev(spark, sf), F.col("is_new"))
@@ -198,6 +259,15 @@ def feed_scan_cap(spark, sf):
     return capped.select("feed", "id", "community_id", "time_stored")
 
 
+@query
+def feed_scan_cap_stamped(spark, sf):
+    """The cap falls among many rows that three harvests gave their second."""
+    stamped = a.posts_ev(spark, sf).withColumn("time_stored", F.lit(a.NOW) - F.col("time_stored") % 3 * 21_600)
+    sized = rule_ops.size_rules(rule_ops.zero_percentile_excluded(a.rules(spark)))
+    capped = feed_plans.feed_candidates(stamped, sized, a.NOW, scan_cap=SMALL_CAP)
+    return capped.select("feed", "id", "community_id", "time_stored")
+
+
 @query
 def zero_percentile_excluded(spark, sf):
     live = rule_ops.zero_percentile_excluded(a.rules(spark, a.MUTED_RULES))
@@ -269,6 +339,14 @@ def day_boundary(spark, sf):
     return now.withColumn("boundary", timeops.day_boundary(F.col("now")))
 
 
+@query
+def day_boundary_zone(spark, sf):
+    """In a zone whose clocks change within the days covered."""
+    now = (a.epoch("ts") + a.ZONE_DAYS * timeops.DAY_SECONDS).alias("now")
+    rows = a.table(spark, sf, "events").select("event_id", now)
+    return rows.withColumn("boundary", timeops.day_boundary(F.col("now"), a.ZONE))
+
+
 @query
 def age_in_days(spark, sf):
     boundary = timeops.day_boundary(F.lit(a.NOW_MID).cast("long"))
@@ -285,6 +363,12 @@ def media_links(spark, sf):
     return _media_columns(linked.select("id", "community_id", "url", "media"))
 
 
+@query
+def media_links_malformed(spark, sf):
+    linked = media_jobs.media_links(a.odd_links(spark, sf))
+    return linked.select("page_id", F.col("url").alias("link"), F.coalesce("media.url", F.lit("")).alias("media_url"))
+
+
 @query
 def media_kind(spark, sf):
     kinds = media_jobs.with_media_kind(a.posts_ev(spark, sf))
@@ -319,16 +403,25 @@ def _all_feeds(spark, sf):
 @query
 def rank_order(spark, sf):
     _, candidates = _candidates(spark, sf)
-    ranked = ranking.rank_order(candidates)
+    ranked = ranking.rank_order(candidates, most=filters.SCAN_CAP)
     return ranked.select(
         "feed", "rank", "community_name", "age_in_days", "score", "id", "community_id"
     )
 
 
+@query
+def rank_order_orders(spark, sf):
+    """Feeds of any size, numbered in ranges."""
+    orders = a.posts_ord(spark, sf, since=a.ORDERS_NOW - a.WEEK)
+    sized = rule_ops.size_rules(a.rules(spark, a.ORDER_RULES))
+    ranked = ranking.rank_order(feed_plans.feed_candidates(orders, sized, a.ORDERS_NOW))
+    return ranked.select("feed", "rank", "community_name", "age_in_days", "score", "id")
+
+
 @query
 def display_order(spark, sf):
     _, candidates = _candidates(spark, sf)
-    ordered = ranking.display_order(candidates)
+    ordered = ranking.display_order(candidates, most=filters.SCAN_CAP)
     return ordered.select("feed", "display_rank", "time_stored", "id", "community_id")
 
 
@@ -456,6 +549,37 @@ def harvest_stream(spark, sf):
     return posts.read_posts(spark, root).select(*POST_COLUMNS)
 
 
+def _harvested_twice(spark, sf):
+    """A store with an index, harvested twice by a stream with the stop rule; one community is broken."""
+    folder = new_folder(spark, "stream")
+    root, landing = f"{folder}/store", f"{folder}/landing"
+    posts.posts_sink(a.store_before_harvest(spark, sf), root, index_buckets=8)
+    landed = materialize(a.landed_pages(spark, sf), f"{folder}/landed")
+    lost = a.lost_pages(spark, sf).select(landed.columns)
+    for rows in (landed.unionByName(lost), landed.withColumn("score", F.col("score") + 7)):
+        rows.write.mode("append").json(landing)
+        harvest_streaming.harvest_stream(
+            listings.stream_listings(spark, landing),
+            root,
+            checkpoint=f"{folder}/progress",
+            run_ts=lambda batch_id: a.NOW + batch_id * 21_600,
+            stop_rule=True,
+            once=True,
+        ).awaitTermination()
+    return root
+
+
+@query
+def harvest_stream_stop_rule(spark, sf):
+    return posts.read_posts(spark, _harvested_twice(spark, sf)).select(*POST_COLUMNS)
+
+
+@query
+def harvest_ledger(spark, sf):
+    ledger = harvest_streaming.read_ledger(spark, _harvested_twice(spark, sf))
+    return ledger.na.fill({"reason": "", "n_new": 0, "n_updated": 0, "n_skipped": 0, "last_page": 0})
+
+
 @query
 def feed_snapshot(spark, sf):
     root = new_folder(spark, "snapshots")
@@ -470,6 +594,26 @@ def feed_snapshot(spark, sf):
     return current.select("feed", "snapshot_ts", "display_rank", "id", "community_id", "score")
 
 
+@query
+def feed_snapshot_changes(spark, sf):
+    """Feeds of a store, rebuilt after a merge only where the merge changed them."""
+    folder = new_folder(spark, "snapshots")
+    events = materialize(a.posts_ev(spark, sf, since=a.NOW - a.WEEK), f"{folder}/events")
+    # some clicks come later: links that no other post has
+    later = F.expr("community_name = 'click' and cast(id as bigint) % 13 in (1, 3, 5) and cast(id as bigint) % 4 = 0")
+    posts.posts_sink(events.where(~later), f"{folder}/store", version=1, index_buckets=4)
+    rules = a.rules(spark)
+    refresh = lambda: snapshots.refresh_changed_feeds(
+        spark, f"{folder}/feeds", f"{folder}/store", rules, a.NOW, scan_cap=filters.SCAN_CAP
+    )
+    refresh()
+    batch = ingest.by_sequence(events.where(later).withColumn("seq", F.col("id").cast("long")), "seq")
+    posts.merge_posts(spark, f"{folder}/store", batch, version=2)
+    refresh()
+    current = snapshots.current_feeds(spark, f"{folder}/feeds")
+    return current.select("feed", "snapshot_ts", "display_rank", "id", "community_id", "score")
+
+
 # Reports and the whole pipeline
 
 
@@ -480,6 +624,11 @@ def feed_status(spark, sf):
     return status.feed_status(feeds, log, a.LOG_NOW)
 
 
+@query
+def menu_with_status(spark, sf):
+    return status.menu_with_status(rule_ops.feed_menu(*_menus(spark, sf)), a.menu_log(spark, sf), a.LOG_NOW)
+
+
 @query
 def feed_listing(spark, sf):
     return status.feed_listing(_all_feeds(spark, sf), preview_chars=11)
@@ -502,6 +651,18 @@ def build_all_feeds(spark, sf):
     return _media_columns(_all_feeds(spark, sf).select(*_FEED_COLUMNS))
 
 
+@query
+def build_all_feeds_store(spark, sf):
+    """Feeds from a stored store: a week's folders are read, thresholds come from its index."""
+    root = new_folder(spark, "store")
+    posts.posts_sink(a.posts_ev(spark, sf), root, version=1, index_buckets=4)
+    counts = index.open_index(spark, root, 1).score_counts(a.NOW - a.WEEK)
+    built = feed_plans.build_all_feeds(
+        posts.read_posts(spark, root), a.rules(spark), a.NOW, scan_cap=filters.SCAN_CAP, counts=counts
+    )
+    return _media_columns(built.select(*_FEED_COLUMNS))
+
+
 @query
 def build_all_feeds_orders(spark, sf):
     """Feeds over orders, in the middle of the years the table covers."""

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.plans import harvest
 from feedloom.plans.harvest import StopLimits, harvest_page_stats, harvest_run, harvest_stop_rule
 from feedloom.sources.listings import (
     drop_sticky,
@@ -131,8 +132,10 @@ def one_writer(store, pages, run_ts, limits):
     return sorted(labels), reasons, held
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_harvest_equals_one_writer(spark, make_posts, seed):
+@pytest.mark.parametrize("seed, repeats", [(1, True), (2, True), (3, False), (4, False), (5, False)])
+def test_harvest_equals_one_writer(spark, make_posts, monkeypatch, seed, repeats):
+    """Posts that pages repeat are taken in rounds, others for all pages at once."""
+    monkeypatch.setattr(harvest, "_by_passes" if repeats else "_by_rounds", None)
     rng = random.Random(seed)
     limits = StopLimits(max_pages=4, min_rows=3, min_new_percent=30.0)
     urls = [""] * 3 + [f"u{i}" for i in range(60)]
@@ -154,7 +157,8 @@ def test_harvest_equals_one_writer(spark, make_posts, seed):
     for c in communities:
         for k in range(1, rng.randint(2, 8)):
             size = 0 if rng.random() < 0.05 else rng.randint(2, 9)
-            listed = [post(c, rng.randint(0, 59)) for _ in range(size)]
+            own = range(60) if repeats else range(7 * k - 7, 7 * k)
+            listed = [post(c, rng.choice(own)) for _ in range(size)]
             if listed:
                 pages[(c, k)] = listed
     # Pages are landed without gaps.

@@ -15,9 +15,9 @@ from feedloom.operators.ingest import (
 from feedloom.schema import POST_COLUMNS
 
 FIRST = {
-    "id": "some_id", "name": "jkjkjk", "time_created": 1234, "time_stored": 1235,
-    "permalink": "/r/funny/xyz123", "score": 5678, "title": "A fake post",
-    "url": "https://imgur.com/foo.jpg", "community_name": "funny", "community_id": "ppp9999",
+    "id": "first", "name": "t3_first", "time_created": 700, "time_stored": 720,
+    "permalink": "/r/birds/first", "score": 31, "title": "A heron",
+    "url": "https://pics.example.org/heron.png", "community_name": "birds", "community_id": "c7",
 }
 
 
@@ -34,22 +34,22 @@ def test_upsert_sequence(make_posts):
     assert labels(store, make_posts([FIRST])) == ["NEW"]
     store = ingest_merge(store, batch_of(make_posts([FIRST])))
 
-    better = {**FIRST, "score": 9999, "time_created": 1, "time_stored": 2, "community_name": "x"}
+    better = {**FIRST, "score": 64, "time_created": 1, "time_stored": 2, "community_name": "x"}
     assert labels(store, make_posts([better])) == ["UPDATED"]
     store = ingest_merge(store, batch_of(make_posts([better])))
 
-    other = {**FIRST, "id": "another_id", "community_id": "another_community_id"}
+    other = {**FIRST, "id": "second", "community_id": "c8"}
     assert labels(store, make_posts([other])) == ["SKIPPED"]
     store = ingest_merge(store, batch_of(make_posts([other])))
 
-    moved = {**other, "time_created": 5555, "url": "https://tinypic.com/bar.jpg"}
+    moved = {**other, "time_created": 900, "url": "https://pics.example.org/wren.png"}
     assert labels(store, make_posts([moved])) == ["NEW"]
     store = ingest_merge(store, batch_of(make_posts([moved])))
 
     rows = store.orderBy("time_created").collect()
     assert [(r.id, r.score, r.time_created, r.time_stored, r.community_name) for r in rows] == [
-        ("some_id", 9999, 1234, 1235, "funny"),
-        ("another_id", 5678, 5555, 1235, "funny"),
+        ("first", 64, 700, 720, "birds"),
+        ("second", 31, 900, 720, "birds"),
     ]
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.media import SITE_RULES, SiteRule, media_kind, with_media
 from feedloom.operators.media_jobs import domain_share, media_coverage
 
+# The markup that viewers embed, and what becomes of each kind of link.
 GIPHY = (
     '<iframe src="https://giphy.com/embed/{}" frameborder="0" scrolling="no" width="100%"'
     ' height="100%" class="giphy-embed" allowFullScreen></iframe>'

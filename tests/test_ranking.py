@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import page_link, preview
+from feedloom.operators import filters
 from feedloom.operators.ranking import (
     display_order,
     feed_pages,
@@ -13,11 +15,13 @@ from feedloom.operators.ranking import (
     requested_page,
     write_pages,
 )
+from feedloom.operators.rules import size_rules
+from feedloom.workload import adaptors
 
-CAPS = {"aaa": 5, "zzz": 2, "bbb": 2}
+CAPS = {"ants": 4, "wasps": 1, "moths": 3}
 ROWS = {
-    ("zzz", 0): [10, 20, 30], ("bbb", 0): [10, 20, 30], ("bbb", 1): [20],
-    ("bbb", 2): [30, 10, 20, 30], ("aaa", 0): [20, 10, 30],
+    ("wasps", 0): [6, 9], ("wasps", 3): [-2], ("moths", 0): [7, 7, 5, 8, 1],
+    ("moths", 1): [4], ("ants", 2): [1, 3, 2], ("ants", 0): [11],
 }
 
 
@@ -39,8 +43,8 @@ def aged(spark):
 def test_daily_cap(aged, bound):
     kept = rank_order(max_daily_posts(aged, bound)).orderBy("rank").collect()
     assert [(r.community_name, r.age_in_days, r.score) for r in kept] == [
-        ("aaa", 0, 30), ("aaa", 0, 20), ("aaa", 0, 10), ("bbb", 0, 30), ("bbb", 0, 20),
-        ("bbb", 1, 20), ("bbb", 2, 30), ("bbb", 2, 30), ("zzz", 0, 30), ("zzz", 0, 20),
+        ("ants", 0, 11), ("ants", 2, 3), ("ants", 2, 2), ("ants", 2, 1), ("moths", 0, 8), ("moths", 0, 7),
+        ("moths", 0, 7), ("moths", 1, 4), ("wasps", 0, 9), ("wasps", 3, -2),
     ]
 
 
@@ -98,3 +102,42 @@ def test_links_escape_names(spark):
 def test_preview_counts_characters(spark):
     df = spark.createDataFrame([("héllo wörld",), ("héllo",)], "t string")
     assert [r.p for r in df.select(preview(F.col("t"), 5).alias("p")).collect()] == ["héllo...", "héllo"]
+
+
+def test_a_large_feed_is_numbered_in_ranges(spark):
+    """A million rows of one feed, most of them of one second; no window takes a whole feed."""
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") < 10, "few").otherwise("many").alias("feed"),
+        F.lpad(F.col("id").cast("string"), 7, "0").alias("id"),
+        F.lit("c").alias("community_id"),
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(n).alias("time_stored"),
+    ).repartition(8, F.xxhash64("id"))
+    numbered = display_order(rows)
+    window = Window.partitionBy("feed").orderBy(F.desc("time_stored"), "id", "community_id")
+    both = numbered.withColumn("want", F.row_number().over(window))
+    assert both.where("display_rank <> want").isEmpty() and numbered.columns == [*rows.columns, "display_rank"]
+    assert numbered.agg(F.count_distinct("feed", "display_rank")).first()[0] == n
+    assert "Window" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert display_order(rows.limit(0)).isEmpty()
+
+
+def test_rank_order_does_not_depend_on_the_bound(aged):
+    assert sorted(map(str, rank_order(aged).collect())) == sorted(map(str, rank_order(aged, most=50).collect()))
+
+
+@pytest.mark.parametrize("cap", [1, 7, 60, 93, 400])
+def test_scan_cap_inside_a_crowded_second(spark, monkeypatch, cap):
+    """Beginnings of ids narrow the second down; ids that share them all stay in."""
+    monkeypatch.setattr(filters, "CROWDED", 5)
+    ids = [f"{i * 7 % 300}" for i in range(90)] + ["same"] * 30 + ["x" * 70 + str(i) for i in range(20)]
+    rows = [(f, i, f"c{k}", 50 + (k % 9 == 0)) for f in ("f", "g") for k, i in enumerate(ids)]
+    rows += [("small", "1", "c", 3)]
+    posts = spark.createDataFrame(rows, "feed string, id string, community_id string, time_stored long")
+    sized = size_rules(adaptors.rules(spark))
+    got = {tuple(r) for r in filters.feed_scan_cap(posts, sized, cap).collect()}
+    want = set()
+    for feed in ("f", "g", "small"):
+        of = sorted((r for r in rows if r[0] == feed), key=lambda r: (-r[3], r[1], r[2]))
+        want |= set(of[:cap])
+    assert got == want

@@ -22,37 +22,35 @@ from feedloom.sources.rules import (
     read_feed_documents,
 )
 
+# One feed that sets everything, one whose communities lean on it, one that sets nothing.
 FEEDS = {
-    "document": "d",
+    "document": "gardens",
     "feeds": [
         {
-            "name": "foo", "description": "Foo", "media": "image", "percentile": 87.0,
-            "max_daily_posts": 103,
-            "communities": [
-                {"name": "Community1", "percentile": 80.0, "max_daily_posts": 100},
-                {"name": "community2", "percentile": 90.0, "max_daily_posts": 73},
-            ],
+            "name": "herbs", "description": "Kitchen herbs", "media": "image", "percentile": 41.5,
+            "max_daily_posts": 8,
+            "communities": [{"name": "Basil", "percentile": 12.25, "max_daily_posts": 3}, {"name": "thyme"}],
         },
         {
-            "name": "bar", "description": "Bar", "media": "text", "percentile": 85.0,
+            "name": "trees", "description": "Old trees", "percentile": 66.0,
             "communities": [
-                {"name": "community3", "percentile": 70.0, "max_daily_posts": 22},
-                {"name": "community4"},
-                {"name": "community5", "percentile": 72.0, "max_daily_posts": -4},
+                {"name": "oak", "max_daily_posts": 17}, {"name": "elm", "percentile": 5.0},
+                {"name": "ash", "percentile": 9.0, "max_daily_posts": -1},
             ],
         },
-        {"name": "baz", "description": "Baz", "communities": [{"name": "community6"}]},
+        {"name": "weeds", "description": "Weeds", "max_daily_posts": -6, "communities": [{"name": "nettle"}]},
+        {"name": "moss", "description": "Moss", "media": "text", "communities": [{"name": "peat"}]},
     ],
 }
 
 ACCOUNTS = {
-    "document": "d",
+    "document": "gardens",
     "feeds": [
         {
-            "name": "news", "description": "News",
+            "name": "growers", "description": "Growers",
             "filters": [
-                {"account": "someone", "filtertype": "original", "percentile": 70, "max_daily_posts": 22},
-                {"account": "someone", "filtertype": "retweets", "percentile": 50, "max_daily_posts": 44},
+                {"account": "nursery_9", "filtertype": "retweets", "percentile": 3, "max_daily_posts": 1},
+                {"account": "seed-bank", "filtertype": "original", "percentile": 99.5, "max_daily_posts": 60},
             ],
         }
     ],
@@ -72,12 +70,13 @@ def load(spark, tmp_path):
 def test_defaults_cascade(load):
     rows = resolve_feed_rules(load(FEEDS)).orderBy("feed_no", "community_no").collect()
     assert [(r.feed, r.media, r.community, r.percentile, r.max_daily) for r in rows] == [
-        ("foo", "image", "community1", 80.0, 100),
-        ("foo", "image", "community2", 90.0, 73),
-        ("bar", "text", "community3", 70.0, 22),
-        ("bar", "text", "community4", 85.0, 100),
-        ("bar", "text", "community5", 72.0, 0),
-        ("baz", "text", "community6", 80.0, 100),
+        ("herbs", "image", "basil", 12.25, 3),
+        ("herbs", "image", "thyme", 41.5, 8),
+        ("trees", "text", "oak", 66.0, 17),
+        ("trees", "text", "elm", 5.0, 100),
+        ("trees", "text", "ash", 9.0, 0),
+        ("weeds", "text", "nettle", 80.0, 0),
+        ("moss", "text", "peat", 80.0, 100),
     ]
 
 
@@ -89,7 +88,8 @@ def test_sound_rules_have_no_violations(load):
     assert duplicate_feed_names(*menus).count() == 0
     assert duplicate_communities(resolve_feed_rules(feeds)).count() == 0
     assert [(r.source, r.feed) for r in feed_menu(*menus).collect()] == [
-        ("community", "bar"), ("community", "baz"), ("community", "foo"), ("account", "news"),
+        ("account", "growers"), ("community", "herbs"), ("community", "moss"), ("community", "trees"),
+        ("community", "weeds"),
     ]
 
 

@@ -12,9 +12,9 @@ RULE = "feed string, community string, percentile double, max_daily long"
 
 def ladder(*communities):
     return [
-        {"id": f"id_{i}", "community_id": c + "ppp9999", "community_name": c, "score": 2 * i}
+        {"id": f"{c}-{i}", "community_id": "id-" + c, "community_name": c, "score": 3 * i}
         for c in communities
-        for i in range(1, 101)
+        for i in range(1, 61)
     ]
 
 
@@ -26,8 +26,8 @@ def at(df, percentiles):
 def test_score_ladder(make_posts):
     found = at(make_posts(ladder("funny")), [70, 50, 30, 101, 0])
     assert found == {
-        ("funny", 70.0): 60, ("funny", 50.0): 100, ("funny", 30.0): 140,
-        ("funny", 101.0): 0, ("funny", 0.0): 200,
+        ("funny", 70.0): 54, ("funny", 50.0): 90, ("funny", 30.0): 126,
+        ("funny", 101.0): 0, ("funny", 0.0): 180,
     }
 
 
@@ -62,7 +62,7 @@ def test_random_scores_of_any_size(make_posts):
 def test_min_scores_per_community(spark, make_posts):
     posts = make_posts(ladder("funny", "gifs", "pics"))
     bars = spark.createDataFrame(
-        [("f", "funny", 198), ("f", "gifs", 200)], "feed string, community string, min_score long"
+        [("f", "funny", 177), ("f", "gifs", 180)], "feed string, community string, min_score long"
     )
     rows = community_score_filter(posts, bars, SizedRules(bars, True, 0)).collect()
     assert sorted(r.community_name for r in rows) == ["funny", "funny", "gifs"]
@@ -76,7 +76,7 @@ def test_thresholds_with_and_without_broadcast(spark, make_posts, small):
     )
     found = community_thresholds(make_posts(ladder("funny", "gifs")), SizedRules(rules, small, 1))
     assert {(r.feed, r.community): r.min_score for r in found.collect()} == {
-        ("a", "funny"): 100, ("b", "funny"): 140, ("b", "empty"): 0, ("b", "gifs"): 0,
+        ("a", "funny"): 90, ("b", "funny"): 126, ("b", "empty"): 0, ("b", "gifs"): 0,
     }
 
 

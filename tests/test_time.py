@@ -14,7 +14,7 @@ def boundary(spark, now, tz):
     return spark.range(1).select(day_boundary(now_col, tz).alias("b")).first().b
 
 
-@pytest.mark.parametrize("now, ahead", [(1508230800, 3600), (1508299200, 6 * 3600)])
+@pytest.mark.parametrize("now, ahead", [(1623747600, 3600), (1623816000, 6 * 3600)])
 def test_boundary_is_the_next_three_in_the_morning(spark, now, ahead):
     assert boundary(spark, now, "America/Los_Angeles") == now + ahead
 
