@@ -126,3 +126,108 @@ with recursive v as materialized (
 select vec_id, coalesce(n, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept
 from v join components using (id) left join counted using (id)
 """
+
+
+def _crc32(code: str) -> str:
+    """crc32 of the bytes whose hexadecimal digits are ``code``, given the table ``t``."""
+    digit = lambda at: f"(instr('0123456789ABCDEF', substr({code}, {at}, 1)) - 1)"
+    return f"""xor(list_reduce(
+    list_concat([4294967295::ubigint], list_transform(range(length({code}) // 2), lambda i:
+      ({digit('2 * i + 1')} * 16 + {digit('2 * i + 2')})::ubigint)),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint)"""
+
+
+_CRC_TABLE = """bits as (  -- the table of crc32
+  select list_transform(range(256), lambda x: list_reduce(
+    list_concat([x::ubigint], list_transform(range(8), lambda y: 0::ubigint)),
+    lambda c, y: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end)) as t
+)"""
+
+# What the contracts fix of results whose rest a model decides.
+
+MIX_TARGETS_SQL = r"""
+with recursive d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+), sources as (
+  select source, sum(size)::bigint as source_size,
+    (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
+  from d group by source
+), step as (
+  select 0 as n, source, source_size, weight, false as capped from sources
+  union all
+  select n + 1, source, source_size, weight, capped or share > 3 * source_size
+  from (
+    select *, (total - held) * weight / nullif(free, 0) as share
+    from (select *, sum(source_size) over () as total,
+        sum(case when capped then 3 * source_size else 0 end) over () as held,
+        sum(case when capped then 0 else weight end) over () as free
+      from step)
+  ) where n < 200
+), last as (
+  select *, sum(source_size) over () as total, sum(case when capped then 3 * source_size else 0 end) over () as held,
+    sum(case when capped then 0 else weight end) over () as free
+  from step where n = 200
+)
+select doc_id, size, l.source_size,
+  round(case when capped then 3.0 * l.source_size else (total - held) * weight / free end, 3)::double as target
+from d join last l on l.source is not distinct from d.source
+"""
+
+LM_BASE_SQL = (
+    "with "
+    + _CRC_TABLE
+    + r""", d as (
+  select doc_id, coalesce(text, '') as text, hex(encode(doc_id::varchar)) as code from documents
+), h as (
+  select doc_id, text, """
+    + _crc32("code")
+    + r""" % 7 = 2 as held_out from d, bits
+), token as (
+  select doc_id, held_out, unnest(list_concat(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [chr(10)])) as w
+  from h
+), counted as (
+  select w, count(*) as c from token where not held_out group by w
+), totals as (select sum(c) as n, count(*) as v from counted)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, max(n)::bigint as train_tokens,
+  round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 3) as base_score
+from token left join counted using (w), totals group by doc_id, held_out
+"""
+)
+
+PII_COUNTS_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text from documents
+), found as (
+  select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email,
+    len(list_filter(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x:
+      len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 or try_cast(p as hugeint) > 255)) = 0)) as n_ip,
+    list_filter(list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'),
+      lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) between 13 and 19) as cards,
+    len(list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'),
+      lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 9 and 15)) as n_phone
+  from d
+)
+select doc_id, n_email, n_ip, n_phone,
+  len(list_filter(cards, lambda x: list_sum(list_transform(range(length(x)), lambda i:
+    case when i % 2 = 0 then substr(x, length(x) - i, 1)::int
+      else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(x, length(x) - i, 1)::int + 1] end)) % 10 = 0)) as n_card
+from found
+"""
+
+URL_RULES_SQL = r"""
+with p as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages
+), rules(host_of, path_of, rule, verdict) as (values
+  ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'),
+  ('example.org', '/en/1', 'example.org/en/1', 'block'), ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')
+), fits as (
+  select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as ruled
+  from p join rules on (host = host_of or ends_with(host, '.' || host_of)) and starts_with(path, path_of)
+  group by page_id
+)
+select page_id, host, path, coalesce(rule, '') as rule, coalesce(ruled, '') as ruled from p left join fits using (page_id)
+"""

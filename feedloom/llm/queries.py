@@ -23,7 +23,16 @@ from feedloom.llm import (
     url_rules,
 )
 from feedloom.llm.common import small_batches, table
-from feedloom.llm.oracles import OP1_SQL, OP3_SQL, OP11_SQL, OP12_SQL
+from feedloom.llm.oracles import (
+    LM_BASE_SQL,
+    MIX_TARGETS_SQL,
+    OP1_SQL,
+    OP3_SQL,
+    OP11_SQL,
+    OP12_SQL,
+    PII_COUNTS_SQL,
+    URL_RULES_SQL,
+)
 
 #: The given url rules of the contract.
 URL_RULES = [
@@ -162,11 +171,35 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+# The columns of results above that the contracts determine, next to their SQL.
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op2_mix_sources(spark, sf_dir)
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4_lm_scoring(spark, sf_dir).drop("score")
+    return found.withColumn("base_score", F.round("base_score", 3))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def url_given_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.coalesce("rule", F.lit("")).alias("rule")
+    ruled = F.when(F.col("rule").isNull(), "").otherwise(F.col("verdict")).alias("ruled")
+    return op8_url_filters(spark, sf_dir).select("page_id", "host", "path", rule, ruled)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_substring_dedup, op2_mix_sources, op3_embedding_dedup, op4_lm_scoring, op5_language_id,
         op6_minhash_dedup, op7_pii, op8_url_filters, op9_chat_format,
         op10_decontaminate, op11_spelling_variants, op12_source_audit, op13_best_fit_packing,
+        mix_targets, lm_base_scores, pii_counts, url_given_rules,
     ]
 
     def prepared(f: Callable) -> Callable:
@@ -186,4 +219,8 @@ def llm_oracles() -> dict[str, str]:
         "op9_chat_format": OP9_SQL,
         "op11_spelling_variants": OP11_SQL,
         "op12_source_audit": OP12_SQL,
+        "mix_targets": MIX_TARGETS_SQL,
+        "lm_base_scores": LM_BASE_SQL,
+        "pii_counts": PII_COUNTS_SQL,
+        "url_given_rules": URL_RULES_SQL,
     }
