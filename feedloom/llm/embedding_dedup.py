@@ -183,7 +183,8 @@ def _product(threshold: float):
         if not same:
             links[j] += near.T @ n[i]
         # least id among those reachable inside this product
-        root, some = ids.copy(), np.zeros(len(ids), bool)
+        ordered = np.sort(ids)  # ids of any type, as numbers in their order
+        root, some = np.searchsorted(ordered, ids), np.zeros(len(ids), bool)
         r, c = np.nonzero(near)
         r, c = i[r], j[c]
         some[r] = some[c] = True
@@ -195,7 +196,7 @@ def _product(threshold: float):
             if (new == root).all():
                 break
             root = new
-        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": root[some]})
+        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": ordered[root[some]]})
 
     return run
 
@@ -211,6 +212,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     vectors of their own, so they link, and as they have one vec_id all or none are kept.
     Other columns are not looked at.
     """
+    id_type = embeddings.schema["vec_id"].dataType.simpleString()
     value = F.col("embedding")
     ok = usable(value, F.col("label")) & F.col("vec_id").isNotNull()
     rows = stored(
@@ -236,7 +238,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = stored(
         _blocked(cells)
         .groupBy("label", "dim", "cell", "kind", "a", "b")
-        .applyInPandas(_product(threshold), "rep long, links long, root long"),
+        .applyInPandas(_product(threshold), f"rep {id_type}, links long, root {id_type}"),
         "vector-links",
     )
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))

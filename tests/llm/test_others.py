@@ -55,6 +55,9 @@ def test_near_vectors(spark, monkeypatch, cells, block):
                     parent[max(p, q)] = min(p, q)
     from pyspark.sql import Row
 
+    for kind in ("string", "int"):  # ids of other types link alike
+        other = embedding_dedup.near_vectors(df.withColumn("vec_id", df["vec_id"].cast(kind)))
+        assert sorted((str(r.vec_id), r.n_links) for r in other.collect()) == sorted((str(r[0]), n) for r, n in zip(rows, links, strict=True))
     want = []
     for r, n in zip(rows, links, strict=True):
         top = root(r[0])
