@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import stored
@@ -145,14 +145,14 @@ def anchored(
 
 
 def _text_print(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each text's words, to tell rows of one doc_id apart."""
+    """A hash of each text's words, to tell rows of one doc_id apart."""
     n = np.diff(begin)
     place = (np.arange(len(words)) - np.repeat(begin[:-1], n)).astype(np.uint64)
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         out[some] = np.add.reduceat(mix(words + mix(place)), begin[:-1][some])
-    return (mix(out) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return mix(out).view(np.int64)
 
 
 def _word_hashes(batch: pa.RecordBatch):
@@ -164,6 +164,30 @@ def _word_hashes(batch: pa.RecordBatch):
         yield lo, hi, hash_words(part, starts, ends), text, begin
 
 
+def _printed(docs: DataFrame, repeated_ids: bool) -> DataFrame:
+    """doc_id, text and print: a hash of the words that tells rows of one doc_id apart.
+
+    It is 0 where no doc_id is repeated. With it, a doc_id that most rows share, or none, is
+    as many groups as it has texts.
+    """
+    if not repeated_ids:
+        return docs.select("doc_id", "text", F.lit(0).cast("long").alias("print"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [_text_print(words, begin) for _, _, words, _, begin in _word_hashes(batch)]
+            prints = np.concatenate([*prints, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "print"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, text string, print long")
+
+
+def _same_row(left: str, right: str) -> Column:
+    ids = F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+    return ids & (F.col(f"{left}.print") == F.col(f"{right}.print"))
+
+
 def _rows(words: np.ndarray, text: np.ndarray, begin: np.ndarray, window: int):
     """Of each stretch of windows with one symbol: its first window, and all windows' hashes."""
     start, name, occurrence, value = anchored(words, text, begin, window)
@@ -210,10 +234,7 @@ def _at(row: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _stretches(docs: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
-    """(symbol, digest, doc_id, print, at, n): stretches of n windows that are looked up under one symbol.
-
-    ``print`` tells rows of one doc_id apart, and is 0 where no doc_id is repeated.
-    """
+    """(symbol, digest, doc_id, print, at, n): stretches of n windows that are looked up under one symbol."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,27 +249,26 @@ def _stretches(docs: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
                         pa.array(name.view(np.int64)),
                         pa.array(_digests(name, first, value).view(np.int64)),
                         batch.column("doc_id").take(pa.array(lo + of)),
-                        pa.array(_text_print(words, begin)[of] if repeated_ids else np.zeros(len(of), np.int32)),
+                        pa.array(_text_print(words, begin)[of] if repeated_ids else np.zeros(len(of), np.int64)),
                         pa.array(at.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                     ],
                     ["symbol", "digest", "doc_id", "print", "at", "n"],
                 )
 
-    shape = f"symbol long, digest long, doc_id {id_type}, print int, at int, n int"
+    shape = f"symbol long, digest long, doc_id {id_type}, print long, at int, n int"
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
-    """(symbol, value, doc_id, print, at): all windows of the stretches ``wanted`` (doc_id, at, digest).
+    """(symbol, value, doc_id, print, at): all windows of the stretches ``wanted`` (doc_id, print, at, digest).
 
     They are found again in the texts, so that no table carries the windows of all stretches.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    lists = wanted.groupBy(F.col("doc_id").alias("of")).agg(
-        F.collect_list(F.struct("at", "digest")).alias("wanted")
-    )
-    rows = docs.select("doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+    lists = wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "digest")).alias("wanted"))
+    rows = _printed(docs, repeated_ids).alias("d").join(lists.alias("w"), _same_row("d", "w"))
+    rows = rows.select("d.*", "w.wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,41 +291,40 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int, repeated_ids: bool
                         pa.array(np.repeat(name, n)[at].view(np.int64)),
                         pa.array(value[at].view(np.int64)),
                         batch.column("doc_id").take(pa.array(lo + of)),
-                        pa.array(_text_print(words, begin)[of] if repeated_ids else np.zeros(len(of), np.int32)),
+                        batch.column("print").take(pa.array(lo + of)),
                         pa.array((start[at] - begin[of]).astype(np.int32)),
                     ],
                     ["symbol", "value", "doc_id", "print", "at"],
                 )
 
-    shape = f"symbol long, value long, doc_id {id_type}, print int, at int"
+    shape = f"symbol long, value long, doc_id {id_type}, print long, at int"
     return rows.mapInArrow(run, shape)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, window: int, repeated_ids: bool) -> DataFrame:
     """(doc_id, print, first, last): words in windows that also start earlier.
 
     Earlier is a smaller doc_id, or the same and an earlier start. ``last`` is not in it.
     """
-    repeated_ids = _repeated_ids(docs)
     again = stored(_symbol_counts(docs, window), "repeat-symbols")
     found = _stretches(docs, window, repeated_ids).join(again, "symbol", "left_semi")
     found = stored(found, "repeat-stretches")
     place = F.struct("doc_id", "at")
-    print_ = F.when(F.lit(repeated_ids), F.col("print")).alias("print")
+    first_place = F.struct("p.doc_id", "p.at")
     # Of stretches that are equal throughout, all but the first are repeats as a whole.
     firsts = stored(
-        found.groupBy("symbol", "digest").agg(F.min(place).alias("p")), "repeat-firsts"
+        found.groupBy("symbol", "digest").agg(F.min(F.struct("doc_id", "at", "print")).alias("p")), "repeat-firsts"
     )
     whole = stored(
         found.join(firsts, ["symbol", "digest"])
-        .where(~place.eqNullSafe(F.col("p")))
-        .select("doc_id", print_, F.col("at").alias("first"), (F.col("at") + F.col("n") - 1 + window).alias("last")),
+        .where(~place.eqNullSafe(first_place))
+        .select("doc_id", "print", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1 + window).alias("last")),
         "repeat-whole",
     )
     # Windows of different stretches under one symbol are compared one by one.
     several = firsts.groupBy("symbol").count().where("count > 1").select("symbol")
     wanted = stored(
-        firsts.join(several, "symbol", "left_semi").select("p.doc_id", "p.at", "digest"), "repeat-several"
+        firsts.join(several, "symbol", "left_semi").select("p.doc_id", "p.print", "p.at", "digest"), "repeat-several"
     )
     single = stored(_windows(docs, wanted, window, repeated_ids), "repeat-windows")
     least = stored(
@@ -316,7 +335,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one = stored(
         single.join(least, ["symbol", "value"])
         .where(~place.eqNullSafe(F.col("least")))
-        .select("doc_id", print_, F.col("at").alias("first"), (F.col("at") + window).alias("last")),
+        .select("doc_id", "print", F.col("at").alias("first"), (F.col("at") + window).alias("last")),
         "repeat-single",
     )
     return whole.unionByName(one)
@@ -335,11 +354,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows that repeat whole are treated alike. Other columns are not looked at.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeats(docs, window).groupBy(F.col("doc_id").alias("of")).agg(
-        F.collect_list(F.struct("print", "first", "last")).alias("spans")
+    repeated_ids = _repeated_ids(docs)
+    spans = repeats(docs, window, repeated_ids).groupBy("doc_id", "print").agg(
+        F.collect_set(F.struct("first", "last")).alias("spans")
     )
     spans = stored(spans, "repeat-spans")
-    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rows = _printed(docs, repeated_ids).alias("d").join(spans.alias("s"), _same_row("d", "s"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,21 +367,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ends = lists.offsets.to_numpy().astype(np.int64)
             ends = ends - ends[0]
             flat = lists.flatten()
-            prints = flat.field("print").to_numpy(zero_copy_only=False)
             first, last = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            mine = np.zeros(batch.num_rows, np.int64)
-            for lo, hi, words, _, begin in _word_hashes(batch):
-                mine[lo:hi] = _text_print(words, begin)
             n_words, n_removed, kept = [], [], []
             for i, t in enumerate(texts):
                 words = (t or b"").split()
                 a, b = ends[i], ends[i + 1]
                 if a < b:
-                    own = np.isnan(prints[a:b].astype(float)) | (prints[a:b] == mine[i])
                     step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, first[a:b][own], 1)
-                    np.add.at(step, last[a:b][own], -1)
+                    np.add.at(step, first[a:b], 1)
+                    np.add.at(step, last[a:b], -1)
                     gone = np.cumsum(step)[:-1] > 0
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
@@ -377,7 +392,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return rows.drop("of").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept string")
+    return rows.select("d.doc_id", "d.text", "s.spans").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept string")
 
 
 def digest(texts: DataFrame) -> DataFrame:

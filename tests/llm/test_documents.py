@@ -34,8 +34,11 @@ def words_of(text):
 
 
 def test_substring_dedup(make_docs):
-    rows = odd_rows()
-    got = substring_dedup.digest(substring_dedup.without_repeats(make_docs(rows))).collect()
+    base = prose(1, 120)
+    rows = odd_rows() + [(None, base[60:]), (None, f"{prose(41, 30)} {base}"), (None, prose(42, 40)), (14, prose(42, 40)), (None, None)]
+    docs = make_docs(rows)
+    got = substring_dedup.digest(substring_dedup.without_repeats(docs)).collect()
+    rows = [(-1 if i is None else i, t) for i, t in rows]  # null comes first
     seen, want = {}, []
     order = sorted(range(len(rows)), key=lambda i: rows[i][0])
     for i in order:
@@ -51,7 +54,8 @@ def test_substring_dedup(make_docs):
                 gone |= set(range(at, at + 20))
         kept = [w for i, w in enumerate(words) if i not in gone]
         want.append((doc_id, len(words), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
+    assert substring_dedup.without_repeats(docs.limit(0)).isEmpty()
 
 
 def test_mixing(make_docs):
