@@ -6,7 +6,7 @@ class. All counts come from all training documents.
 
 Clustering has two steps. Exchange moves the few most frequent words and the endings of
 all others, one at a time, to the class that raises the likelihood most. Then whole sweeps
-of exchange, as Spark aggregations over all training documents, take every word that
+of exchange, as Spark aggregations over all training documents, take every other word that
 is looked up (up to ``LOOKED_UP``): how often each class comes before and after the word
 is counted, and all words move to the class under which their neighbours are likeliest.
 The more such words there are, the more classes. Rarer words keep their ending's class.
@@ -29,8 +29,8 @@ from feedloom.llm.words import LOWER, chunks, counted, hash_words, mix, split_wo
 OWN_UNITS, ENDING_UNITS = 512, 192
 #: Classes: one for so many looked-up words, but no fewer and no more than these.
 WORDS_PER_CLASS, LEAST_CLASSES, MOST_CLASSES = 2_000, 32, 128
-#: Sweeps over all looked-up words.
-SWEEPS = 2
+#: Sweeps over all looked-up words but those of the first step.
+SWEEPS = 1
 #: At most this many frequent words are looked up in memory; rarer ones are joined.
 LOOKED_UP = 200_000
 #: Share of a class move's probability that is the class's own frequency.
@@ -167,13 +167,16 @@ def _at_once(cells: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n, pa.int64())], ["cell", "n"])
 
 
-def count_neighbours(docs: DataFrame, classes: Classes, n_classes: int) -> DataFrame:
-    """(cell, n): how often each class follows and precedes each looked-up word.
+def count_neighbours(
+    docs: DataFrame, classes: Classes, n_classes: int, settled: np.ndarray | None = None
+) -> DataFrame:
+    """(cell, n): how often each class follows and precedes each looked-up word that isn't ``settled``.
 
     The cell is the word's place times twice the number of classes, plus the class that
     follows, or the number of classes plus the one that precedes.
     """
     wide = 2 * n_classes
+    settled = np.zeros(len(classes.words), bool) if settled is None else settled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, held = [], 0
@@ -181,10 +184,11 @@ def count_neighbours(docs: DataFrame, classes: Classes, n_classes: int) -> DataF
             for _, _, word, ending, _ in _tokens(batch):
                 place = classes.find(word)
                 c = classes.of(place, word, ending)
-                own = place * wide
-                after, before = place[:-1] >= 0, place >= 0
-                cells.append((own[:-1] + c[1:])[after])
-                cells.append((own + n_classes + np.r_[0, c[:-1]])[before])
+                at = np.flatnonzero(place >= 0)
+                at = at[~settled[place[at]]]
+                own = place[at] * wide  # an end, which is never one of these last, follows
+                cells.append(own + np.r_[c[1:], 0][at])
+                cells.append(own + n_classes + np.r_[0, c[:-1]][at])
                 held += len(word)
                 if held >= 2 * _TOKENS_AT_ONCE:
                     yield _at_once(cells)
@@ -214,8 +218,8 @@ def count_class_moves(docs: DataFrame, classes: Classes, n_classes: int) -> np.n
     return table.reshape(n_classes, n_classes)
 
 
-def sweep(docs: DataFrame, classes: Classes, moves: np.ndarray) -> Classes:
-    """All looked-up words at once in the class that makes their neighbours' classes likeliest.
+def sweep(docs: DataFrame, classes: Classes, moves: np.ndarray, settled: np.ndarray | None = None) -> Classes:
+    """All looked-up words but the ``settled`` at once in the class that makes their neighbours' likeliest.
 
     ``moves`` are the class moves under the classes so far. Words are dealt out in blocks,
     and only each one's new class comes to the driver. Ties: the lowest class.
@@ -237,7 +241,7 @@ def sweep(docs: DataFrame, classes: Classes, moves: np.ndarray) -> Classes:
         found = np.argmax(np.round(counts @ np.maximum(likely, -1e9).T, 6), 1)
         return pa.table({"place": pa.array(place), "class": pa.array(found.astype(np.int16))})
 
-    counts = stored(count_neighbours(docs, classes, n_classes), "lm-neighbours")
+    counts = stored(count_neighbours(docs, classes, n_classes, settled), "lm-neighbours")
     block = F.floor(F.col("cell") / (wide * WORDS_PER_BLOCK)).alias("block")
     rows = counts.groupBy(block).applyInArrow(choose, "place long, class short").toPandas()
     of_word = classes.of_word.copy()
@@ -342,14 +346,17 @@ def train(docs: DataFrame) -> Model:
     by_hash = np.argsort(own)
     units = Units(own[by_hash], 1 + by_hash)
     n_classes = min(MOST_CLASSES, max(LEAST_CLASSES, len(hashes) // WORDS_PER_CLASS))
-    cls = exchange(count_moves(docs, units), n_classes)
+    moves = count_moves(docs, units)
+    cls = exchange(moves, n_classes)
     order = np.argsort(hashes)
     endings = common["ending"].to_numpy(np.int64)
     start = cls[units.of(hashes, endings)]
     classes = Classes(hashes[order], start[order], cls[1 + OWN_UNITS :])
-    table = count_class_moves(docs, classes, n_classes)
+    table = np.zeros((n_classes, n_classes), np.int64)  # every word has its unit's class as yet
+    np.add.at(table, (cls[:, None], cls[None, :]), moves)
+    settled = np.isin(classes.words, np.r_[own, _END])
     for _ in range(SWEEPS if len(hashes) else 0):
-        moved = sweep(docs, classes, table)
+        moved = sweep(docs, classes, table, settled)
         after_it = count_class_moves(docs, moved, n_classes)
         if likelihood(after_it) <= likelihood(table):
             break
