@@ -127,6 +127,8 @@ class Mixture:
                 F.array_join(F.slice("words", at, n_words.cast("int")), " ").alias("text"),
             ).alias("part"),
         )
+        # stored, so that the texts' shuffle is gone before the next one
+        parts = stored(parts, "mix-parts", compression="zstd")
         # a member has a word at least, so a block has at most as many members as words
         whole = parts.groupBy("source_no", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"))
         mixed = self.slots.join(whole, ["source_no", "block"]).select(
