@@ -79,7 +79,7 @@ def clear_run(spark: SparkSession) -> None:
 @contextlib.contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """A job's shuffle files are removed when it ends, not when Spark's cleaner finds them."""
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
