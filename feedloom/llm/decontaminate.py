@@ -37,6 +37,7 @@ INDEX_CHARS = 500_000
 _JOIN_BITS = 27
 _HITS_AT_ONCE = 2_000_000
 _FILTER_BITS = 22
+_BASE = 0x9E3779B97F4A7C15
 _NOTHING = np.uint32(0xFFFFFFFF)
 
 
@@ -56,12 +57,16 @@ def normalized(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams(chars: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of the q-gram that begins at each character."""
-    n = max(0, len(chars) - q + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(q):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += chars[j : j + n]
+    """A 64-bit hash of the q-gram that begins at each character, from those of its halves."""
+    if len(chars) < q:
+        return np.zeros(0, np.uint64)
+    if q == 1:
+        return chars.astype(np.uint64)
+    half = q // 2
+    part = grams(chars, half)
+    n = len(chars) - q + 1
+    out = part[:n] * np.uint64(pow(_BASE, q - half, 1 << 64))
+    out += part[q - half : q - half + n] if q % 2 == 0 else grams(chars, q - half)[half : half + n]
     return out
 
 
@@ -226,21 +231,22 @@ class Index:
         enough = pairs >= np.tile(self.least, len(texts))
         if not enough.any():
             return []
-        keys = []
+        keys, lines = [], []
         for at, item, inside in self.hits(chars, text):
             pair = text[at] * n_items + item
             keep = enough[pair]
             at, item, inside, pair = at[keep], item[keep], inside[keep], pair[keep]
             band = (at - inside) // (self.budget[item] + 1) + 2**30
             keys += [(pair << 32) + band, (pair << 32) + band - 1]
+            lines.append((pair << 32) + at - inside + 2**30)
+        best = self._whole(np.concatenate(lines), chars)
         key, n = np.unique(np.concatenate(keys), return_counts=True)
         pair, band = key >> 32, (key & 0xFFFFFFFF) - 2**30
-        kept = n >= self.least[pair % n_items]
+        kept = (n >= self.least[pair % n_items]) & ~np.isin(pair, list(best))
         pair, band = pair[kept], band[kept]
         of, item = pair // n_items, pair % n_items
         begins = np.searchsorted(text, np.arange(len(texts) + 1))
         order = np.argsort([len(self.items[i]) for i in item], kind="stable")
-        best: dict[int, tuple[int, int, int]] = {}
         for lo in range(0, len(order), 256):
             rows = order[lo : lo + 256]
             found = aligned(
@@ -257,6 +263,23 @@ class Index:
         ]
 
 
+    def _whole(self, lines: np.ndarray, chars: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """Pairs of a text and an item that it holds unchanged, with the first such passage.
+
+        ``lines`` are shared q-grams by pair and diagonal. Where a diagonal has all of the
+        item's, nothing is left to align.
+        """
+        line, n = np.unique(lines, return_counts=True)
+        pair = line >> 32
+        sizes = np.array([len(x) for x in self.items])
+        best: dict[int, tuple[int, int, int]] = {}
+        for p, at in zip(*(x[n == sizes[pair % len(sizes)] - self.q + 1].tolist() for x in (pair, line)), strict=True):
+            start, item = (at & 0xFFFFFFFF) - 2**30, self.items[p % len(sizes)]
+            if p not in best and (chars[start : start + len(item)] == item).all():
+                best[p] = (0, start, start + len(item))
+        return best
+
+
 def first_diagonal(band: np.ndarray, budget: np.ndarray) -> np.ndarray:
     """Where the passages that a band can hold begin at the earliest."""
     return band * (budget + 1) - budget
@@ -281,6 +304,7 @@ def aligned(
     # a passage can't start before its text
     now = np.where(base[:, None] + np.arange(most) < begin[:, None], far, now)
     out = np.full((3, len(items)), far)
+    rows = np.arange(len(items))
     for i in range(1, int(lens.max()) + 1):
         at = base[:, None] + np.arange(most) + (i - 1)
         inside = (at >= begin[:, None]) & (at < end[:, None])
@@ -295,9 +319,17 @@ def aligned(
         if len(done):
             x = np.argmin(now[done], axis=1)
             value = now[done, x]
-            out[0, done] = value >> 32
-            out[1, done] = base[done] + (value & 0xFFFFFFFF)
-            out[2, done] = base[done] + x + i
+            out[0, rows[done]] = value >> 32
+            out[1, rows[done]] = base[done] + (value & 0xFFFFFFFF)
+            out[2, rows[done]] = base[done] + x + i
+        if i % 16 == 0:  # edits only grow: rows over their budget, and those that are done, go
+            on = ((now.min(1) >> 32) <= k) & (lens > i)
+            if not on.any():
+                break
+            if on.sum() < 0.75 * len(on):
+                now, base, begin, end, wanted, within, lens, k, rows = (
+                    x[on] for x in (now, base, begin, end, wanted, within, lens, k, rows)
+                )
     return tuple(out)
 
 
