@@ -21,6 +21,8 @@ from feedloom.llm.common import stored
 from feedloom.llm.words import chunks, hash_words, mix, split_words, text_bytes
 
 WINDOW = 20
+#: Texts are worked on in chunks of so many bytes, whose arrays fit a core's cache.
+TEXT_BYTES = 150_000
 #: A round replaces runs, then pairs. After two, a symbol is mostly three to five words.
 ROUNDS = 2
 _BASE = 0xD1342543DE82EF95
@@ -157,7 +159,7 @@ def _text_print(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def _word_hashes(batch: pa.RecordBatch):
     data, offsets = text_bytes(batch.column("text"))
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, TEXT_BYTES):
         part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, text = split_words(part, own)
         begin = np.searchsorted(text, np.arange(hi - lo + 1))
