@@ -1,7 +1,8 @@
 """URL filters: a given rule list, and association rules mined from labelled urls.
 
-FP-growth finds token combinations that come with a bad label. Rules that are rare
-or unsure are pruned; the rest match by an inverted index from the tokens of each rule's
+FP-growth finds token combinations that come with a bad label; those of long urls are
+found level by level, so that all are. Rules that are rare, unsure or say no more than a
+shorter one are pruned; the rest match by an inverted index from the tokens of each rule's
 rarest class.
 """
 
@@ -15,11 +16,10 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import stored
 
-BAD = "class:bad"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Given rules become one expression, so their number is bounded.
 MAX_GIVEN_RULES = 1000
-#: Token classes with which a labelled row takes part in mining.
+#: Rows of more token classes than this are mined level by level instead of by FP-growth.
 MAX_TOKENS = 14
 
 
@@ -75,7 +75,7 @@ def url_tokens(url: Column) -> Column:
 
 
 def _mined_tokens(rows: DataFrame, least: int) -> DataFrame:
-    """token, members and freq of the frequent tokens, stored: tokens that only occur together are one.
+    """token, members and freq of the tokens with ``least`` bad rows, stored: tokens that only occur together are one.
 
     Which rows a token is in is told by 128 bits of hashes that add up over the rows.
     """
@@ -83,17 +83,78 @@ def _mined_tokens(rows: DataFrame, least: int) -> DataFrame:
     def sign(salt: int) -> Column:
         return F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)")).alias(f"rows_{salt}")
 
-    each = rows.select("row", F.explode("tokens").alias("token"))
-    signed = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), sign(1), sign(2))
-    alike = signed.where(F.col("freq") >= least).groupBy("freq", "rows_1", "rows_2")
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    signed = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("n_bad"), sign(1), sign(2))
+    alike = signed.where(F.col("n_bad") >= least).groupBy("freq", "rows_1", "rows_2")
     members = alike.agg(F.sort_array(F.collect_list("token")).alias("members"))
     return stored(members.select(F.col("members")[0].alias("token"), "members", "freq"), "url-classes")
 
 
-def _with_rarest(sets: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``sets`` (antecedent) with ``rarest``, the token of the least freq of each."""
-    each = sets.select("antecedent", F.explode("antecedent").alias("token")).join(tokens.select("token", "freq"), "token")
-    return each.groupBy("antecedent").agg(F.min(F.struct("freq", "token"))["token"].alias("rarest"))
+def _counted(sets: DataFrame, patterns: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """``sets`` (antecedent) with ``least`` bad rows or more: rarest, good, bad and long.
+
+    ``rarest`` is the token of the least freq, ``good`` and ``bad`` count all rows that hold
+    the set, and ``long`` tells whether a bad one among them is long.
+    """
+    each = sets.select("antecedent", F.explode("antecedent").alias("token")).join(classes.select("token", "freq"), "token")
+    rarest = each.groupBy("antecedent").agg(F.min(F.struct("freq", "token"))["token"].alias("rarest"))
+    met = patterns.select("*", F.explode("tokens").alias("rarest")).join(rarest, "rarest")
+    return (
+        met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+        .groupBy("antecedent", "rarest")
+        .agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad"), F.max("long").alias("long"))
+        .where(F.col("bad") >= least)
+    )
+
+
+def _shorter(sets: DataFrame) -> DataFrame:
+    """Each set of two tokens or more with the sets that lack one of them (antecedent, part)."""
+    several = sets.select("antecedent").where(F.size("antecedent") > 1)
+    parts = F.transform("antecedent", lambda x: F.array_remove("antecedent", x))
+    return several.select("antecedent", F.explode(parts).alias("part"))
+
+
+def _telling(counts: DataFrame) -> DataFrame:
+    """``counts`` without the sets one of whose tokens excludes no good row.
+
+    Without that token such a set has the same good rows and no fewer bad ones, and matches
+    all urls that the set matches, so it is a rule that is no worse. No superset of it
+    is any better.
+    """
+    known = counts.select(F.col("antecedent").alias("part"), F.col("good").alias("part_good"))
+    idle = _shorter(counts).join(known, "part").join(counts.select("antecedent", "good"), "antecedent")
+    idle = idle.where(F.col("part_good") <= F.col("good")).select("antecedent").distinct()
+    return counts.join(idle, "antecedent", "left_anti")
+
+
+def _sets_of_long_rows(patterns: DataFrame, classes: DataFrame, least: int) -> DataFrame | None:
+    """Counts of all sets that tell (see ``_telling``) and that a long bad row holds, whatever their size.
+
+    Pairs are those of the rows; later, from each two sets of a level that differ in their
+    last token comes one of the next. Only sets all of whose parts are left are counted, as
+    no other can be left itself.
+    """
+    tokens = patterns.where("long = 1").select(F.explode("tokens").alias("x"), "tokens")
+    level = tokens.select(F.array("x").alias("antecedent")).distinct()
+    level = stored(_counted(level, patterns, classes, least), "url-level")
+    found = None
+    size = 1
+    while not level.isEmpty():
+        found = level if found is None else found.unionByName(level)
+        if size == 1:
+            pairs = tokens.select(F.array().cast("array<string>").alias("head"), "x", F.explode("tokens").alias("y")).distinct()
+        else:
+            head, last = F.slice("antecedent", 1, size - 1).alias("head"), F.element_at("antecedent", -1)
+            pairs = level.select(head, last.alias("x")).join(level.select(head, last.alias("y")), "head")
+        longer = pairs.where("x < y").select(F.concat("head", F.array("x", "y")).alias("antecedent"))
+        size += 1
+        parts = _shorter(longer).join(level.select(F.col("antecedent").alias("part"), F.col("good").alias("part_good")), "part")
+        whole = parts.groupBy("antecedent").agg(F.count(F.lit(1)).alias("n"), F.min("part_good").alias("part_good"))
+        whole = stored(whole.where(F.col("n") == size), "url-longer")
+        counts = _counted(whole, patterns, classes, least).where("long = 1")
+        left = counts.join(whole, "antecedent").where(F.col("good") < F.col("part_good"))
+        level = stored(left.select(level.columns), "url-level")
+    return found
 
 
 def mine_rules(
@@ -112,10 +173,13 @@ def mine_rules(
     An antecedent is a list of token classes: tokens that occur in the same labelled rows
     are one class and mined once, so a long path that many urls share is one token and not
     all its subsets. A rule matches a url that has a token of each class, as mining
-    each token by itself would find. A row with more than ``max_tokens`` classes
-    takes part with the rarest of them, so it has at most 2 ** ``max_tokens`` subsets; what
-    is found is counted again over all rows with all their tokens, and those counts
-    decide.
+    each token by itself would find. A set in which a token excludes no good row is no rule,
+    as the set without it is no worse; every url's best confidence is that of all sets.
+
+    FP-growth mines the bad rows of up to ``max_tokens`` classes, of which a row has
+    2 ** ``max_tokens`` sets at most. What it can't find is in a longer bad row, and
+    is found by levels, where sets that say nothing more aren't extended. So all rules
+    are found, and they are the same for any ``max_tokens``. All are counted over all rows.
     """
     spark = labelled.sparkSession
     shape = "antecedent array<array<string>>, confidence double, lift double, support double, rarest array<string>"
@@ -130,28 +194,29 @@ def mine_rules(
     if classes.isEmpty():
         return spark.createDataFrame([], shape)
     each = rows.select("row", "bad", F.explode("tokens").alias("token")).join(classes.select("token", "freq"), "token")
-    merged = each.groupBy("row", "bad").agg(F.sort_array(F.collect_list(F.struct("freq", "token")))["token"].alias("tokens"))
-    merged = stored(merged, "url-merged")
-    own = F.slice("tokens", 1, max_tokens)
-    items = merged.select(F.when(F.col("bad"), F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items"))
-    # rows without a frequent token count as well
-    share = (least - 0.5) / max(merged.count(), 1)
-    items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # else by files, of which it is one
-    sets = FPGrowth(minSupport=min(share, 1.0), minConfidence=0.0).fit(items).freqItemsets
-    found = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
-    found = found.select(F.sort_array(F.array_remove("items", BAD)).alias("antecedent"))
-    candidates = stored(_with_rarest(found, classes), "url-sets")
-    met = merged.select("bad", "tokens", F.explode("tokens").alias("rarest")).join(candidates, "rarest")
+    merged = stored(each.groupBy("row", "bad").agg(F.sort_array(F.collect_list("token")).alias("tokens")), "url-merged")
+    is_long = ((F.size("tokens") > max_tokens) & (F.col("n_bad") > 0)).cast("int")
+    patterns = merged.groupBy("tokens").agg(F.count_if(~F.col("bad")).alias("n_good"), F.count_if("bad").alias("n_bad"))
+    patterns = stored(patterns.withColumn("long", is_long), "url-patterns")
+    counts = _sets_of_long_rows(patterns, classes, least)
+    items = merged.where(F.col("bad") & (F.size("tokens") <= max_tokens)).select(F.col("tokens").alias("items"))
+    n_short = items.count()
+    if n_short >= least:
+        items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # else by files, of which it is one
+        sets = FPGrowth(minSupport=min((least - 0.5) / n_short, 1.0), minConfidence=0.0).fit(items).freqItemsets
+        sets = stored(sets.select(F.sort_array("items").alias("antecedent")), "url-sets")
+        grown = stored(_counted(sets, patterns, classes, least), "url-counts")
+        counts = grown if counts is None else grown.unionByName(counts).distinct()
+    if counts is None:
+        return spark.createDataFrame([], shape)
     counts = (
-        met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
-        .groupBy("antecedent", "rarest").agg(F.count(F.lit(1)).alias("k"), F.count_if("bad").alias("k_bad"))
-        .where(F.col("k_bad") >= least)
-        .withColumn("confidence", F.col("k_bad") / F.col("k"))
+        _telling(counts)
+        .withColumn("confidence", F.col("bad") / (F.col("good") + F.col("bad")))
         .withColumn("lift", F.col("confidence") / F.lit(n_bad / n))
         .where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
-    )
+    )
     named = counts.select("*", F.explode("antecedent").alias("token")).join(classes.select("token", "members"), "token")
-    rules = named.groupBy("antecedent", "confidence", "lift", (F.col("k_bad") / F.lit(n)).alias("support")).agg(
+    rules = named.groupBy("antecedent", "confidence", "lift", (F.col("bad") / F.lit(n)).alias("support")).agg(
         F.sort_array(F.collect_list("members")).alias("classes"),
         F.first(F.when(F.col("token") == F.col("rarest"), F.col("members")), ignorenulls=True).alias("rarest"),
     )
