@@ -137,6 +137,23 @@ def test_idf_weights(make_docs):
     assert none.of(np.array([1], np.uint64)).tolist() == pytest.approx([1.1])
 
 
+def near_by_frequencies():
+    """Documents 1 and 2 are near as four documents share what 1 lacks; a long one beside them has many other shingles."""
+    core, line = [f"c{i}" for i in range(104)], [f"x{i}" for i in range(26)]
+    texts = [core, line + core, *(line + core[:4] + [f"o{k}w{i}" for i in range(60)] for k in range(3))]
+    texts.append([f"w{i}" for i in range(1_200_000)])
+    return [(i + 1, " ".join(words)) for i, words in enumerate(texts)]
+
+
+def test_weights_in_a_large_corpus(make_docs):
+    """Frequencies count in full beside any number of other shingles."""
+    rows = near_by_frequencies()
+    weights = weighted([t for _, t in rows])
+    assert 0.8 <= similarity(weights[0], weights[1]) < 0.81
+    got = {r.doc_id: (r.class_id, r.n_links) for r in minhash_dedup.near_duplicates(make_docs(rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1)} | {i: (i, 0) for i in range(3, 7)}
+
+
 def test_recall_on_given_documents(spark):
     """Ids divisible by 100 against all documents, production parameters."""
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
