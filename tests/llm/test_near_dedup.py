@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from feedloom.llm import minhash_dedup
 from feedloom.llm.common import table
 
@@ -154,6 +155,12 @@ def test_weights_in_a_large_corpus(make_docs):
     assert got == {1: (1, 1), 2: (1, 1)} | {i: (i, 0) for i in range(3, 7)}
 
 
+def test_pipeline_stage_in_a_large_corpus(spark, make_docs):
+    """The stage drops the copy that frequencies decide."""
+    left = corpus_pipeline.near_dedup(spark, make_docs(near_by_frequencies()), "")
+    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == [1, 3, 4, 5, 6]
+
+
 def test_recall_on_given_documents(spark):
     """Ids divisible by 100 against all documents, production parameters."""
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
